@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm import substring_dedup as windows20
+from plantpulse.llm import suffix_dedup as strings100
 from plantpulse.session import ship_package
 
 
@@ -20,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strings100.digest(strings100.suffix_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows20.digest(windows20.substring_dedup(_table(spark, sf_dir, "documents")))
 
