@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plantpulse.llm.near_dedup import near_dedup
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm import substring_dedup as windows20
 from plantpulse.llm import suffix_dedup as strings100
@@ -21,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings100.digest(strings100.suffix_dedup(_table(spark, sf_dir, "documents")))
 

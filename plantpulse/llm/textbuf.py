@@ -202,7 +202,11 @@ def sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(total[offs])
 
 
-def slices(batches, column: str, max_bytes: int = 2_000_000):
+#: Most rows of a slice, so that a row's number fits 14 bits of a sort key.
+MAX_ROWS = 1 << 14
+
+
+def slices(batches, column: str, max_bytes: int = 1_000_000):
     """Cut Arrow batches by their text bytes, so that arrays stay in cache.
 
     A single longer text is a slice of its own.
@@ -215,7 +219,7 @@ def slices(batches, column: str, max_bytes: int = 2_000_000):
         lo = 0
         while lo < batch.num_rows:
             base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
+            hi = min(max(lo + 1, int(np.searchsorted(ends, base + max_bytes, "right"))), lo + MAX_ROWS)
             yield batch.slice(lo, hi - lo)
             lo = hi
 
@@ -223,3 +227,33 @@ def slices(batches, column: str, max_bytes: int = 2_000_000):
 def lists(per_row: np.ndarray, values: pa.Array) -> pa.Array:
     """A list array with that many values in each row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), values)
+
+
+def whole_groups(batches, column: str, max_bytes: int = 8_000_000):
+    """Re-cut batches sorted by an integer column so that no group is divided."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size < max_bytes:
+            continue
+        table = pa.Table.from_batches(held)
+        values = table.column(column).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut).combine_chunks().to_batches()
+        size = sum(x.nbytes for x in held) if cut else 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_bounds(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    if len(values) == 0:
+        return []
+    at = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]).tolist()
+    return list(zip(at[:-1], at[1:]))
