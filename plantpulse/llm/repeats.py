@@ -12,8 +12,8 @@ runs of windows, each under one anchor, and everything below moves runs.
    An anchor's count is at least that of each of its windows, so the merged
    sketch overestimates window counts and loses no repeated window.
 2. ``candidates``: a second scan keeps the runs whose anchor is estimated
-   repeated, after settling repeats inside its own slice of documents: runs
-   whose windows all occur earlier in the slice need no partner any more.
+   repeated, after settling repeats among the documents at hand: runs whose
+   windows all occur earlier among those need no partner any more.
 3. An exact step by anchor (hash groups or suffix arrays) marks windows that
    also start earlier.
 
@@ -222,34 +222,56 @@ def expand(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - n, n) + np.repeat(starts, n)
 
 
-def _candidates(w: Windows, path: str, bits: int):
+def _slice_runs(b, w: Windows, path: str, bits: int):
+    """The runs of one slice whose anchor is estimated repeated, with content:
+    window hashes (words) or snippets and their hashes (bytes)."""
+    values, per, buf = _items(b, w)
+    start, n, anchor, _ = runs(values, per, w)
+    hit = np.flatnonzero(estimated_repeated(anchor, path, bits))
+    start, n, anchor = start[hit], n[hit], anchor[hit]
+    first = np.concatenate([[0], np.cumsum(per)])
+    owner = np.searchsorted(first, start, "right") - 1
+    doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+    key = b.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+    if w.of_bytes:
+        stop = start + n - 1 + w.width
+        hashes, blobs = _span(values, start, stop), [buf[i:j].tobytes() for i, j in zip(start, stop)]
+    else:
+        hashes, blobs = textbuf.rolling(values, w.width, 2)[expand(start, n)] if len(n) else np.empty(0, U64), []
+    return doc, key, start - first[owner], n, anchor, hashes, blobs
+
+
+def _settle(held: list, w: Windows):
+    """One batch of candidates; runs that occur earlier in it lose their data."""
+    doc, key, place, n, anchor, hashes = (np.concatenate([h[i] for h in held]) for i in range(6))
+    if w.of_bytes:
+        blobs = [x for h in held for x in h[6]]
+        settled = later((hashes, anchor), _ranks(doc, key, place))
+        data = [None if s else x for s, x in zip(settled.tolist(), blobs)]
+    else:
+        run_of = np.repeat(np.arange(len(n)), n)
+        late = later((hashes, anchor[run_of]), _ranks(doc, key, place)[run_of] * w.width + expand(np.zeros(len(n), np.int64), n))
+        ends = np.cumsum(n)
+        settled = np.add.reduceat(late.astype(np.int64), ends - n) == n
+        data = [None if s else hashes[i:j].tobytes() for s, i, j in zip(settled.tolist(), (ends - n).tolist(), ends.tolist())]
+    with np.errstate(over="ignore"):  # settled runs need no partner: spread them
+        anchor = np.where(settled, textbuf.mix(doc.view(U64) + place.astype(U64)), anchor)
+    return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(key), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], ["anchor", "doc_id", "row_key", "start", "n", "data"])
+
+
+def _candidates(w: Windows, path: str, bits: int, hold_bytes: int = 12_000_000):
     def run(batches):
-        for b in textbuf.slices(batches, "text", 4_000_000):
-            values, per, buf = _items(b, w)
-            start, n, anchor, _ = runs(values, per, w)
-            hit = np.flatnonzero(estimated_repeated(anchor, path, bits))
-            if len(hit) == 0:
-                continue
-            start, n, anchor = start[hit], n[hit], anchor[hit]
-            first = np.concatenate([[0], np.cumsum(per)])
-            owner = np.searchsorted(first, start, "right") - 1
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)[owner]
-            key = b.column("row_key").to_numpy(zero_copy_only=False)[owner]
-            place = start - first[owner]
-            if w.of_bytes:
-                whole = textbuf.mix(_span(values, start, start + n - 1 + w.width))
-                settled = later((whole, anchor), _ranks(doc, key, place))
-                data = [None if s else buf[i:j].tobytes() for s, i, j in zip(settled, start, start + n - 1 + w.width)]
-            else:
-                hashes = textbuf.rolling(values, w.width, 2)[expand(start, n)]
-                run_of = np.repeat(np.arange(len(n)), n)
-                late = later((hashes, anchor[run_of]), _ranks(doc, key, place)[run_of] * 64 + expand(np.zeros(len(n), np.int64), n))
-                ends = np.cumsum(n)
-                settled = np.add.reduceat(late.astype(np.int64), ends - n) == n
-                data = [None if s else hashes[i:j].tobytes() for s, i, j in zip(settled, ends - n, ends)]
-            with np.errstate(over="ignore"):  # settled runs need no partner: spread them
-                anchor = np.where(settled, textbuf.mix(doc.astype(np.int64).view(U64) + place.astype(U64)), anchor)
-            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], ["anchor", "doc_id", "row_key", "start", "n", "data"])
+        held, size = [], 0
+        for b in textbuf.slices(batches, "text"):
+            found = _slice_runs(b, w, path, bits)
+            if len(found[0]):
+                held.append(found)
+                size += 40 * len(found[0]) + found[5].nbytes + sum(map(len, found[6]))
+            if size > hold_bytes:
+                yield _settle(held, w)
+                held, size = [], 0
+        if held:
+            yield _settle(held, w)
 
     return run
 
@@ -267,7 +289,7 @@ def candidates(rows: DataFrame, w: Windows, path: str, bits: int) -> DataFrame:
     return rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_candidates(w, path, bits), CANDIDATES)
 
 
-def by_anchor(batches, max_bytes: int = 24_000_000):
+def by_anchor(batches, max_bytes: int = 8_000_000):
     """Re-cut sorted batches so that no anchor's runs are divided."""
     held: list[pa.RecordBatch] = []
     size = 0

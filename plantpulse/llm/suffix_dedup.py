@@ -24,7 +24,7 @@ from plantpulse.llm import repeats, scratch, textbuf
 from plantpulse.llm.suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of snippets in one suffix array; a shard of more takes several turns.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 
 
 def _groups(text: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
