@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plantpulse.llm import packing, token_files
 from plantpulse.llm.near_dedup import near_dedup
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm import substring_dedup as windows20
@@ -13,6 +14,13 @@ from plantpulse.llm import suffix_dedup as strings100
 from plantpulse.session import ship_package
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +34,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings100.digest(strings100.suffix_dedup(_table(spark, sf_dir, "documents")))
 
@@ -34,6 +46,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows20.digest(windows20.substring_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
