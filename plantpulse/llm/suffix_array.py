@@ -10,7 +10,9 @@ bucket holds when its turn comes is final, so all its predecessors are placed
 with one stable counting sort; only predecessors that fall into the same
 bucket make another wave (as many waves as the longest run of one character).
 Work is linear, and each step is a numpy pass.  Strings of names have too many
-buckets for that and take the plain one-by-one scan.
+buckets for that; there a suffix is placed by its symbols up to the next LMS
+suffix and that one's rank, all suffixes at once, symbol after symbol, with
+only those still tied in play.
 """
 
 from __future__ import annotations
@@ -95,32 +97,39 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
     return np.concatenate([np.array([len(s) - 1]), *out])
 
 
-def _induce_scan(s: list, is_s: list, lms: list, k: int) -> np.ndarray:
-    """The same for large alphabets, one suffix after the other."""
-    n = len(s)
-    sizes = np.bincount(np.asarray(s), minlength=k)
-    ends = np.cumsum(sizes)
-    tail = (ends - 1).tolist()
-    sa = [-1] * n
-    for j in reversed(lms):
-        c = s[j]
-        sa[tail[c]] = j
-        tail[c] -= 1
-    head = (ends - sizes).tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_s[j]:
-            c = s[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_s[j]:
-            c = s[j]
-            sa[tail[c]] = j
-            tail[c] -= 1
-    return np.asarray(sa, np.int64)
+def _place(s: np.ndarray, is_s: np.ndarray, is_lms: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
+    """Order numbers of suffixes by what stands up to the next LMS position.
+
+    With ``rank`` (of LMS suffixes, by position): of all suffixes, in full
+    order.  Without: of LMS positions, by their LMS substrings alone; equal
+    substrings get equal numbers.  Suffixes equal so far, in symbols and types,
+    reach their next LMS positions together, so comparison never runs on alone.
+    """
+    start = np.flatnonzero(is_lms) if rank is None else np.arange(len(s))
+    number = np.zeros(len(start), np.int64)
+    open_, step = np.arange(len(start)), 0
+    while len(open_):
+        at = start[open_] + step
+        # the last suffix is the sentinel, which no other equals
+        ended = is_lms[at] & ((step > 0) | (at == len(s) - 1))
+        key = 2 * s[at] + is_s[at]
+        if rank is not None:  # equal in symbol and type: all ended or none
+            key = key * len(s) + np.where(ended, rank[at], 0)
+        order = np.lexsort((key, number[open_]))
+        open_, key, ended = open_[order], key[order], ended[order]
+        group = number[open_]
+        new = np.ones(len(open_), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        head = np.ones(len(open_), bool)
+        head[1:] = group[1:] != group[:-1]
+        index = np.arange(len(open_))
+        first = np.maximum.accumulate(np.where(head, index, 0))
+        number[open_] = group + np.maximum.accumulate(np.where(new, index, 0)) - first
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        open_ = open_[~alone & ~ended]
+        step += 1
+    return number
 
 
 def _names(s: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, int]:
@@ -156,23 +165,26 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     is_s = _types(s)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    is_lms = is_s.copy()
+    is_lms[0] = False
+    is_lms[1:] &= ~is_s[:-1]
+    lms = np.flatnonzero(is_lms)
     wide = k > 2048
-    if wide:
-        listed, types = s.tolist(), is_s.tolist()
-
-    def induce(order):
-        return _induce_scan(listed, types, order.tolist(), k) if wide else _induce(s, is_s, order, k)
-
     if len(lms) > 1:
-        mark = np.zeros(n, bool)
-        mark[lms] = True
-        sa = induce(lms)
-        ranked = sa[mark[sa]]
-        name, used = _names(s, lms, ranked)
+        if wide:
+            number = _place(s, is_s, is_lms, None)
+            distinct, name = np.unique(number, return_inverse=True)
+            used = len(distinct)
+        else:
+            sa = _induce(s, is_s, lms, k)
+            name, used = _names(s, lms, sa[is_lms[sa]])
         # the last LMS suffix is the sentinel: its name, 0, is unique
         lms = lms[np.argsort(name)] if used == len(lms) else lms[suffix_array(name, used)]
-    return induce(lms)
+    if not wide:
+        return _induce(s, is_s, lms, k)
+    rank = np.zeros(n, np.int64)
+    rank[lms] = np.arange(len(lms))
+    return np.argsort(_place(s, is_s, is_lms, rank))
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -9,7 +9,8 @@ distinct snippets into one text, builds its suffix array by induced sorting
 and its permuted common prefixes; neighbours in suffix order that share 100
 bytes form a group, and all of a group's strings but the earliest go.
 A snippet stored many times is one snippet with its earliest place, so a hot
-passage costs its length once.
+passage costs its length once, and an anchor with one distinct snippet has no
+other to be sorted against.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _groups(text: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> n
     return group[repeats.expand(first, n)]
 
 
-def _shard(doc, key, start, n, blobs: list[bytes], width: int):
+def _shard(anchor, doc, key, start, n, blobs: list[bytes], width: int):
     """Which windows of a shard's runs also start earlier: (doc, key, start, n)."""
     snippets: dict[bytes, int] = {}
     which = np.array([snippets.setdefault(x, len(snippets)) for x in blobs])
@@ -50,16 +51,23 @@ def _shard(doc, key, start, n, blobs: list[bytes], width: int):
     copy = place > earliest[which]
     at = np.full(len(snippets), -1)
     at[which[~copy]] = np.flatnonzero(~copy)  # a row that stands at the earliest place
-    sizes = np.array([len(x) for x in snippets], np.int64)
+    of_anchor = anchor[at]
+    _, number, several = np.unique(of_anchor, return_inverse=True, return_counts=True)
+    sorted_ = several[number] > 1
+    if not sorted_.any():
+        return doc[copy], key[copy], start[copy], n[copy]
+    at_sorted = at[sorted_]
+    chosen = [x for x, s in zip(snippets, sorted_.tolist()) if s]
+    sizes = np.array([len(x) for x in chosen], np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.frombuffer(b"".join(snippets), np.uint8).astype(np.int64) + 2
+    joined = np.frombuffer(b"".join(chosen), np.uint8).astype(np.int64) + 2
     text = np.ones(int((sizes + 1).sum()) + 1, np.int64)
     text[repeats.expand(first, sizes)] = joined
     text[-1] = 0
-    count = n[at]
+    count = n[at_sorted]
     group = _groups(text, first, count, width)
-    run_of = np.repeat(at, count)
-    where = repeats.expand(start[at], count)
+    run_of = np.repeat(at_sorted, count)
+    where = repeats.expand(start[at_sorted], count)
     late = repeats.later((group,), repeats._ranks(doc[run_of], key[run_of], where))
     d, k, s, m = repeats.window_runs(doc[run_of], key[run_of], where, late)
     # a window that stands at two rows' earliest place concerns both
@@ -68,7 +76,7 @@ def _shard(doc, key, start, n, blobs: list[bytes], width: int):
         hit = np.isin(run_of, at[which[twin]])
         flags = {(a, b): c for a, b, c in zip(run_of[hit].tolist(), where[hit].tolist(), late[hit].tolist())}
         rows = np.flatnonzero(twin)
-        extra = [(doc[r], key[r], start[r] + o, 1) for r in rows.tolist() for o in range(n[r]) if flags[at[which[r]], start[at[which[r]]] + o]]
+        extra = [(doc[r], key[r], start[r] + o, 1) for r in rows.tolist() for o in range(n[r]) if flags.get((at[which[r]], start[at[which[r]]] + o))]
         if extra:
             e = np.array(extra, np.int64)
             d, k, s, m = (np.concatenate([x, e[:, i]]) for i, x in enumerate((d, k, s, m)))
@@ -78,13 +86,13 @@ def _shard(doc, key, start, n, blobs: list[bytes], width: int):
 def _resolve(width: int):
     def run(batches):
         for t in repeats.by_anchor(batches, SHARD_BYTES):
-            doc, key, start, n = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "row_key", "start", "n"))
+            anchor, doc, key, start, n = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "row_key", "start", "n"))
             open_ = t.column("data").is_valid().to_numpy()
             done = ~open_
             yield repeats.removed_rows(doc[done], key[done], start[done], n[done])
             if open_.any():
                 blobs = t.column("data").drop_null().to_pylist()
-                yield repeats.removed_rows(*_shard(doc[open_], key[open_], start[open_], n[open_], blobs, width))
+                yield repeats.removed_rows(*_shard(anchor[open_], doc[open_], key[open_], start[open_], n[open_], blobs, width))
 
     return run
 
