@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.llm import byte_bpe, media, packing, token_files, warc
+from plantpulse.llm.html_extraction import extract
 from plantpulse.llm.near_dedup import near_dedup
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm import substring_dedup as windows20
@@ -42,6 +43,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings100.digest(strings100.suffix_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows20.digest(windows20.substring_dedup(_table(spark, sf_dir, "documents")))
 
