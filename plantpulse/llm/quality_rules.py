@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantpulse.llm import scratch, textbuf
 
@@ -119,10 +120,14 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text has no words and zero counts.  A null host is a host
     of its own.  Other columns of the input, whatever their names, are ignored.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _host(host_col).alias("host"))
     return picked.mapInArrow(_stats, STATS)
 
 
+def _host(host_col: str):
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+
+
 def frequent_lines(stats: DataFrame, limits: LineLimits) -> DataFrame:
     """(host, line, n_docs) of the lines above the limits."""
     held = stats.select("host", "text_key", F.explode("lines").alias("line")).distinct()
@@ -140,20 +145,57 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: st
     base_failed and not depleted.  An empty table gives an empty result; rows
     that repeat an id are judged one by one, and equal texts alike.
     """
-    spark = docs.sparkSession
-    stats = scratch.stored(document_stats(docs, id_col, text_col, host_col), scratch.root(spark) + "/stats")
-    frequent = frequent_lines(stats, limits)
-    # Equal texts of a host get one verdict, so their lines are joined once.
-    texts = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
-    lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_key", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
-    removed = lines.join(frequent.select("host", "line"), ["host", "line"], "left_semi").groupBy("host", "text_key").agg(F.sum("w").cast("long").alias("n_removed_words"))
-    base_failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
+    stats, removed = _removed_words(docs, limits, id_col, text_col, host_col)
     left = F.col("n_words") - F.col("n_removed_words")
     return (
         stats.drop("lines", "line_words")
         .join(removed, ["host", "text_key"], "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
-        .withColumn("base_failed", base_failed)
+        .withColumn("base_failed", _base_failed(limits))
         .withColumn("kept", ~F.col("base_failed") & (left >= limits.min_left * F.col("n_words")))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
     )
+
+
+def _base_failed(limits: LineLimits):
+    return (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
+
+
+def _removed_words(docs, limits, id_col, text_col, host_col) -> tuple[DataFrame, DataFrame]:
+    """Document stats, and for each text of a host the words on frequent lines."""
+    stats = scratch.stored(document_stats(docs, id_col, text_col, host_col), scratch.root(docs.sparkSession) + "/stats")
+    frequent = frequent_lines(stats, limits)
+    # Equal texts of a host get one verdict, so their lines are joined once.
+    texts = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
+    lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_key", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
+    removed = lines.join(frequent.select("host", "line"), ["host", "line"], "left_semi").groupBy("host", "text_key").agg(F.sum("w").cast("long").alias("n_removed_words"))
+    return stats, removed
+
+
+def _filter_rows(limits: LineLimits, text_col: str, host_col: str):
+    """Rows that pass the base rules, with their text's key."""
+
+    def run(batches):
+        for b in textbuf.slices(batches, text_col):
+            n = b.num_rows
+            source = pa.record_batch([pa.nulls(n, pa.int64()), b.column(text_col).cast(pa.string()), pa.nulls(n, pa.string())], ["doc_id", "text", "host"])
+            parts = list(_stats([source]))
+            words, repeats, keys = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("n_words", "n_repeat_words", "text_key"))
+            passed = (words >= limits.min_words) & (100 * repeats <= limits.max_repeat_percent * words)
+            yield b.append_column("__text_key", pa.array(keys)).filter(pa.array(passed))
+
+    return run
+
+
+def passing(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Base rules need no other document and are applied where a row is read, so
+    texts don't move; only depleted texts, few, are joined away.
+    """
+    stats, removed = _removed_words(docs, limits, id_col, text_col, host_col)
+    sizes = stats.filter(~_base_failed(limits)).select("host", "text_key", "n_words").distinct()
+    depleted = removed.join(sizes, ["host", "text_key"]).filter(F.col("n_words") - F.col("n_removed_words") < limits.min_left * F.col("n_words"))
+    depleted = scratch.stored(depleted.select(F.col("host").alias("__host"), F.col("text_key").alias("__key")), scratch.root(docs.sparkSession) + "/depleted")
+    kept = docs.mapInArrow(_filter_rows(limits, text_col, host_col), T.StructType([*docs.schema.fields, T.StructField("__text_key", T.LongType())]))
+    return kept.join(depleted, (_host(host_col) == F.col("__host")) & (F.col("__text_key") == F.col("__key")), "left_anti").drop("__text_key")

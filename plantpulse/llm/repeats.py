@@ -340,12 +340,12 @@ def with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.join(per_doc, ["doc_id", "row_key"], "left")
 
 
-def covered(batch: pa.RecordBatch, per_text: np.ndarray, width: int) -> np.ndarray:
+def covered(batch: pa.RecordBatch, per_text: np.ndarray, width: int, column: str = "runs") -> np.ndarray:
     """Which items of a slice are covered by a removed window."""
     total = int(per_text.sum())
     mark = np.zeros(total + 1, np.int64)
     first = np.concatenate([[0], np.cumsum(per_text)])
-    for i, parts in enumerate(batch.column("runs")):
+    for i, parts in enumerate(batch.column(column)):
         if parts.is_valid:
             pairs = np.concatenate([np.frombuffer(p.as_buffer(), "<i4").reshape(-1, 2) for p in parts.values]).astype(np.int64)
             np.add.at(mark, first[i] + pairs[:, 0], 1)

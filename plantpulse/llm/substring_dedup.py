@@ -85,5 +85,47 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     return joined.mapInArrow(_apply(width), "doc_id long, row_key long, n_words long, n_removed long, kept_text string")
 
 
+def _cut(width: int, text_col: str, names: list[str]):
+    def run(batches):
+        for b in textbuf.slices(batches, text_col):
+            buf, offs = textbuf.flat(b.column(text_col))
+            ws, we = textbuf.words(buf, offs)
+            per = textbuf.counts(ws, offs)
+            gone = np.flatnonzero(repeats.covered(b, per, width, "__runs"))
+            # a removed word goes with the white space before it
+            doc = np.searchsorted(offs, ws, "right") - 1
+            before = np.concatenate([[0], we[:-1]]) if len(we) else we
+            begin = np.maximum(before, offs[doc])
+            mark = np.zeros(len(buf) + 1, np.int32)
+            np.add.at(mark, begin[gone], 1)
+            np.add.at(mark, we[gone], -1)
+            keep = np.cumsum(mark)[:-1] == 0
+            at = np.concatenate([[0], np.cumsum(textbuf.sums(keep, offs))]).tolist()
+            raw = buf[keep].tobytes()
+            hit = b.column("__runs").is_valid().to_pylist()
+            old = b.column(text_col).to_pylist()
+            texts = [raw[i:j].decode().strip(" \t\n\v\f\r") if h else t for h, i, j, t in zip(hit, at[:-1], at[1:], old)]
+            yield pa.record_batch([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
+
+    return run
+
+
+def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated windows cut out of the text, all columns kept.
+
+    White space between kept words stays; a character count is brought up to
+    date.  Texts that lose nothing are unchanged, nulls stay null.
+    """
+    w = repeats.Windows(width, gram, False)
+    removed = repeated_windows(repeats.identified(docs, id_col, text_col), w)
+    per_doc = removed.groupBy(F.col("doc_id").alias("__doc_id"), F.col("row_key").alias("__row_key")).agg(F.collect_list("runs").alias("__runs"))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))})
+    joined = keyed.join(per_doc, (F.col("__id") == F.col("__doc_id")) & (F.col("__key") == F.col("__row_key")), "left").select(*docs.columns, "__runs")
+    out = joined.mapInArrow(_cut(width, text_col, docs.columns), docs.schema)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
