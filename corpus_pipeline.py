@@ -1,15 +1,51 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, packing.
 
-from __future__ import annotations
+Every stage takes (spark, docs, sf_dir), works on all rows that the stage
+before kept, and is written as Parquet and read again; all but the last return
+the columns of documents.  ``STAGES`` and ``run`` are the whole interface.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-ORACLE_SQL: str | None = None
+from plantpulse.llm import entries, near_dedup, packing, quality_rules, scratch, substring_dedup
+from plantpulse.session import ship_package
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and keep enough of their lines."""
+    ship_package(spark)
+    return quality_rules.passing(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    ship_package(spark)
+    return near_dedup.without_near_duplicates(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 20-word windows that an earlier place has."""
+    ship_package(spark)
+    return substring_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of 4096 tokens."""
+    ship_package(spark)
+    return packing.pack_documents(docs, entries.tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("near-dedup", near_duplicates), ("substring dedup", substrings), ("packing", pack)]
+#: The last stage needs the tokenizer, which SQL can't express.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = scratch.root(spark)
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.stored(stage(spark, docs, sf_dir), f"{root}/stage{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)
