@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,3 +30,19 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent).as_posix())
     context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
+
+
+_OWN: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder in ``spark.checkpoint.dir``, which the cluster shares.
+
+    Only where that is unset (tests, one machine) a temporary one stands in.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        top = _OWN[0]
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
