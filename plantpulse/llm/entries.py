@@ -71,5 +71,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The words of a text, as the contracts define them.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d),
+worded AS (SELECT *, array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM worded GROUP BY doc_id),
+sizes AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
+frequent AS (SELECT host, norm FROM worded JOIN sizes USING (host) GROUP BY host, norm, host_docs HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.02 * host_docs),
+removed AS (SELECT doc_id, sum(n) AS n_removed FROM worded JOIN frequent USING (host, norm) GROUP BY doc_id),
+base AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM base
+"""
+
+_NEAR = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, ways.b FROM reach r JOIN ways ON ways.a = r.to_id)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS component_id, min(to_id) = r.id AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+"""
+
+_WINDOWS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i)),
+gone AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+at_word AS (SELECT DISTINCT doc_id, i + o AS j FROM gone, LATERAL (SELECT unnest(range(0, 20)) AS o)),
+cut AS (SELECT doc_id, list(j) AS js FROM at_word GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' '), '')) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins of the operators that SQL can express at this size."""
+    return {"op1_quality_rules": _QUALITY, "op2_near_dedup": _NEAR, "op6_substring_dedup": _WINDOWS, "op8_warc": _WARC}
