@@ -20,6 +20,11 @@ def snapshot(spark, *rows):
     return spark.createDataFrame(list(rows), RISK)
 
 
+def fixed(df):
+    """The rows as they are now, without the plan that made them."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def states(df):
     return sorted((r.asset_id, r.rec_type, r.status, r.created_at, r.closed_at) for r in df.collect())
 
@@ -40,29 +45,29 @@ def test_rule_table(spark, mode, level, want):
 def test_lifecycle(spark):
     recs = spark.createDataFrame([], schemas.RECOMMENDATIONS)
     med = lambda h, score=50, drivers="X": snapshot(spark, ("A", at(h), score, "MED", "BEARING_WEAR", drivers))
-    recs = recommend.reconcile(recs, med(1), at(1)).localCheckpoint()
+    recs = fixed(recommend.reconcile(recs, med(1), at(1)))
     assert states(recs) == [("A", "BEARING_INSPECTION", "OPEN", at(1), None)]
-    recs = recommend.reconcile(recs, med(2), at(2)).localCheckpoint()  # same fingerprint: nothing
+    recs = fixed(recommend.reconcile(recs, med(2), at(2)))  # same fingerprint: nothing
     assert states(recs) == [("A", "BEARING_INSPECTION", "OPEN", at(1), None)]
-    recs = recommend.reconcile(recs, med(3, drivers="Y"), at(3)).localCheckpoint()  # replaced
+    recs = fixed(recommend.reconcile(recs, med(3, drivers="Y"), at(3)))  # replaced
     assert states(recs) == [("A", "BEARING_INSPECTION", "CLOSED", at(1), at(3)), ("A", "BEARING_INSPECTION", "OPEN", at(3), None)]
     again = recommend.reconcile(recs, med(3, drivers="Y"), at(3))  # replay
     assert states(again) == states(recs)
     open_id = recs.filter("status = 'OPEN'").first().recommendation_id
     ack = spark.createDataFrame([(open_id, "ack", "me", "seen", at(6))], schemas.COMMANDS)
-    recs = recommend.apply_commands(recs, ack, at(4)).localCheckpoint()
+    recs = fixed(recommend.apply_commands(recs, ack, at(4)))
     acked = recs.filter("status = 'ACKED'").first()
     assert (acked.ack_until, acked.evidence.acked_by, acked.evidence.ack_note) == (at(6), "me", "seen")
-    recs = recommend.reconcile(recs, med(5, drivers="Z"), at(5)).localCheckpoint()  # waits for the acknowledgement to end
-    assert [s[2] for s in states(recs)] == ["CLOSED", "ACKED"]
-    recs = recommend.reconcile(recs, med(7, drivers="Z"), at(7)).localCheckpoint()
+    recs = fixed(recommend.reconcile(recs, med(5, drivers="Z"), at(5)))  # waits for the acknowledgement to end
+    assert [s[2] for s in states(recs)] == ["ACKED", "CLOSED"]
+    recs = fixed(recommend.reconcile(recs, med(7, drivers="Z"), at(7)))
     assert [s[2] for s in states(recs)] == ["CLOSED", "CLOSED", "OPEN"]
-    recs = recommend.reconcile(recs, snapshot(spark, ("A", at(8), 10, "LOW", "BEARING_WEAR", "Z")), at(8)).localCheckpoint()
+    recs = fixed(recommend.reconcile(recs, snapshot(spark, ("A", at(8), 10, "LOW", "BEARING_WEAR", "Z")), at(8)))
     assert {s[2] for s in states(recs)} == {"CLOSED"}
     assert recs.filter("created_at = timestamp'2024-01-01 07:00:00'").first().evidence.close_reason == "Auto-closed (resolved): state=LOW/10, mode=BEARING_WEAR."
     close = spark.createDataFrame([(open_id, "close", "me", "done", None)], schemas.COMMANDS)
     assert states(recommend.apply_commands(recs, close, at(9))) == states(recs)  # already closed
-    fresh = recommend.reconcile(recs, med(10), at(10)).localCheckpoint()
+    fresh = fixed(recommend.reconcile(recs, med(10), at(10)))
     default = recommend.apply_commands(fresh, spark.createDataFrame([(fresh.filter("status = 'OPEN'").first().recommendation_id, "ack", "me", None, None)], schemas.COMMANDS), at(10))
     assert default.filter("status = 'ACKED'").first().ack_until == at(34)
     assert recommend.close_all(fresh, ["A"], "me", "why", at(11)).filter("status <> 'CLOSED'").count() == 0

@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 from plantpulse.operators import facts
 from plantpulse.sources import telemetry
@@ -17,6 +18,7 @@ FILES = [
     [line(1, 1.0), line(30, 3.0), "broken", line(40, 9.0, quality=64)],
     [line(130, 5.0), line(50, 5.0)],  # the second is out of order, inside the watermark
     [line(200, 7.0), line(400, 1.0)],
+    [line(410, 1.0)],  # a row counts as late by the watermark of the batch before
     [line(20, 100.0)],  # past the watermark: dropped
     [line(90_000, 0.0)],  # closes every earlier minute
 ]
@@ -28,6 +30,7 @@ def feed(path, files):
         f = path / f"{i:03}.txt"
         if not f.exists():
             f.write_text("\n".join(lines) + "\n")
+            os.utime(f, (1_700_000_000 + 10 * i,) * 2)  # files are read by age
 
 
 def test_stream_equals_batch_and_restarts_add_nothing(spark, tmp_path):
@@ -47,7 +50,7 @@ def test_stream_equals_batch_and_restarts_add_nothing(spark, tmp_path):
     raw = spark.read.text(str(source)).selectExpr("value", "cast(null as bigint) AS offset", "cast(null as int) AS partition")
     batch = facts.minute_facts(telemetry.parse_events(raw).filter("value < 100 and ts < timestamp'2024-01-02 00:00:00'"))
     assert got == sorted((r.minute_ts, r.avg_temp_c, r.event_count) for r in batch.collect())
-    assert spark.read.parquet(f"{base}/telemetry_raw").count() == 8
+    assert spark.read.parquet(f"{base}/telemetry_raw").count() == 9
 
 
 def test_update_mode_upserts_reach_the_same_facts(spark, tmp_path):
@@ -55,8 +58,6 @@ def test_update_mode_upserts_reach_the_same_facts(spark, tmp_path):
     feed(source, FILES[:3])
     events = telemetry.parse_events(telemetry.read_message_files(spark, str(source), files_per_trigger=1))
     jobs.start_fact_upserts(events, base, f"{base}-checkpoint", trigger={"availableNow": True}).awaitTermination()
-    import os
-
     last = max(int(d[2:]) for d in os.listdir(base))
     got = sorted((r.minute_ts, r.avg_temp_c, r.event_count) for r in spark.read.parquet(f"{base}/v={last}").collect())
     raw = spark.read.text(str(source)).selectExpr("value", "cast(null as bigint) AS offset", "cast(null as int) AS partition")
