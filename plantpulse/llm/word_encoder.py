@@ -19,19 +19,23 @@ U64 = np.uint64
 
 
 class Memo:
-    """hash -> ids, by open addressing; grows by doubling up to a bound."""
+    """hash -> ids, by open addressing; grows by doubling up to a bound.
 
-    def __init__(self, most: int = 1 << 21):
-        self.most = most
+    A million words take some 60 MB: ids of vocabularies under 65536 entries
+    are kept in two bytes.
+    """
+
+    def __init__(self, vocabulary: int, most: int = 1 << 20):
+        self.most, self.kind = most, np.uint16 if vocabulary <= 65536 else np.uint32
         self.clear(1 << 17)
 
     def clear(self, size: int) -> None:
         self.keys = np.zeros(size, U64)
         self.slots = np.zeros(size, np.int32)
         self.used = 0
-        self.begin = np.zeros(1024, np.int64)
+        self.begin = np.zeros(1024, np.uint32)
         self.length = np.zeros(1024, np.int32)
-        self.ids = np.zeros(4096, np.uint32)
+        self.ids = np.zeros(4096, self.kind)
         self.filled = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -99,8 +103,8 @@ class Memo:
         lengths = self.length[number].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.begin[number] - (ends - lengths), lengths)]
-        return ids, lengths
+        ids = self.ids[np.arange(total) + np.repeat(self.begin[number].astype(np.int64) - (ends - lengths), lengths)]
+        return ids.astype(np.uint32), lengths
 
 
 _WORKERS: dict[str, tuple] = {}
@@ -114,7 +118,7 @@ def worker(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _WORKERS[path] = (t, Memo())
+        _WORKERS[path] = (t, Memo(t.get_vocab_size(with_added_tokens=True)))
     return _WORKERS[path]
 
 
