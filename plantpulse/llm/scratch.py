@@ -1,27 +1,12 @@
-"""Tables that cut a job's lineage, in the folder the cluster shares.
-
-The folder is ``spark.checkpoint.dir``.  Only where it is unset (tests, one
-machine) a temporary one takes its place.
-"""
+"""Tables that cut a job's lineage, in the folder the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
+from plantpulse.session import scratch_folder as root
 
-def root(spark: SparkSession) -> str:
-    """A fresh folder for one run of an operator."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        top = _OWN[0]
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+__all__ = ["drop", "root", "stored"]
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
