@@ -289,28 +289,6 @@ def candidates(rows: DataFrame, w: Windows, path: str, bits: int) -> DataFrame:
     return rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_candidates(w, path, bits), CANDIDATES)
 
 
-def by_anchor(batches, max_bytes: int = 8_000_000):
-    """Re-cut sorted batches so that no anchor's runs are divided."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        held.append(b)
-        size += b.nbytes
-        if size < max_bytes:
-            continue
-        table = pa.Table.from_batches(held)
-        anchors = table.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchors, anchors[-1]))
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-        held = table.slice(cut).combine_chunks().to_batches()
-        size = sum(x.nbytes for x in held) if cut else 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def removed_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray):
     """One row for each document with its removed runs of windows."""
     order = np.lexsort((start, key, doc))

@@ -17,7 +17,7 @@ from plantpulse.llm import repeats, scratch, textbuf
 
 
 def _resolve(batches):
-    for t in repeats.by_anchor(batches):
+    for t in textbuf.whole_groups(batches, "anchor"):
         anchor, doc, key, start, n = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "row_key", "start", "n"))
         start, n = start.astype(np.int64), n.astype(np.int64)
         open_ = t.column("data").is_valid().to_numpy()

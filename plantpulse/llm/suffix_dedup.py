@@ -85,7 +85,7 @@ def _shard(anchor, doc, key, start, n, blobs: list[bytes], width: int):
 
 def _resolve(width: int):
     def run(batches):
-        for t in repeats.by_anchor(batches, SHARD_BYTES):
+        for t in textbuf.whole_groups(batches, "anchor", SHARD_BYTES):
             anchor, doc, key, start, n = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "row_key", "start", "n"))
             open_ = t.column("data").is_valid().to_numpy()
             done = ~open_
