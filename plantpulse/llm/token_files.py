@@ -64,7 +64,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, bytes_an_id: int,
         for b in textbuf.slices(batches, "text"):
             yield pa.record_batch([pa.array([_numbers(x[:most], bytes_an_id)[:most] for x in _documents(b.column("text"), path, end_id)], pa.binary())], ["ids"])
 
-    chosen = docs.filter("text is not null").orderBy(F.xxhash64("doc_id")).limit(sample).select("text")
+    # ids first: only they are sorted, and at most ``sample`` of them are joined
+    ids = docs.filter("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    chosen = docs.join(F.broadcast(ids), "doc_id").select("text")
     rows = [r.ids for r in chosen.mapInArrow(serialized, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()
@@ -183,7 +185,8 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
     order = W.orderBy("first_doc", "shard").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("long"))).select("path", "base")
-    return based.repartition("path").mapInArrow(_read(dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each file: rows this small would else be put into one
+    return based.repartitionByRange(max(1, manifest.count()), "path").mapInArrow(_read(dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
