@@ -206,8 +206,8 @@ def _read(with_payload: bool):
 
 
 def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of all files in a manifest's ``path`` column."""
-    return manifest.select("path").repartition("path").mapInArrow(_read(with_payload), RECORDS)
+    """The records of all files in a manifest's ``path`` column, a task a file."""
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(_read(with_payload), RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:
