@@ -9,16 +9,22 @@ likelier they link.  Depth adapts to each region: regions of more than
 and more orders so that a linked pair still meets almost surely:
 
     level   prefix   orders   missed pairs at similarity 0.85
-    0       4        16       8e-6
-    1       8        48       3e-7
-    2       16       128      6e-5
+    0       4        16       8e-6 (orders share no value)
+    1       8        128      1e-5
+    2       10       256      4e-5
+
+Orders of one signature share its values; the figures of levels 1 and 2 count
+that in (a mean over how many of the 64 values a pair agrees on).
 
 Inside a region signatures are compared and only stars (an edge a member)
-leave the task, never all pairs.  Regions that are crowded even
-at the whole signature chain their members.  The chains' components (clumps)
-bring likely partners together once; there links are confirmed on full sets.
-Clumps of more than ``BLOCK`` classes, or of more than ``BLOCK_SHINGLES``
-shingles, are confirmed by pairs of blocks.
+leave the task, never all pairs.  A region that is crowded even in the deepest
+level is one star around its least id, so none of its pairs is dropped.  The
+stars' components (clumps) bring likely partners together once; there links
+are confirmed on full sets.  Clumps of more than ``BLOCK`` classes, or of more
+than ``BLOCK_SHINGLES`` shingles, are cut into blocks.  Each block is first
+confirmed together with representatives of the whole clump; what that joins
+into the clump's largest component needs no further pair among itself, and
+only the other members meet every block.
 """
 
 from __future__ import annotations
@@ -35,12 +41,14 @@ U64 = np.uint64
 SHINGLE = 5
 VALUES = 64
 #: (prefix, orders) of each level.
-LEVELS = ((4, 16), (8, 48), (16, 128), (64, 1))
+LEVELS = ((4, 16), (8, 128), (10, 256))
 REGION = 2048
 #: Agreeing values from which a pair is likely: 5 deviations below 0.85 * 64.
 LIKELY = 40
 BLOCK = 4096
 BLOCK_SHINGLES = 4_000_000
+#: One of so many members of a block stands for its clump.
+PER_REPRESENTATIVE = 8
 _KEEP = U64(14)
 
 _SEEDS = textbuf._table(77, VALUES) | U64(1)
@@ -170,7 +178,7 @@ def likely_edges(classes: DataFrame, root: str) -> DataFrame:
         crowded = members.filter(F.col("n") > REGION)
         if crowded.isEmpty():
             break
-        if level == len(LEVELS) - 1:
+        if level == len(LEVELS) - 1:  # no deeper prefix: all its members are likely
             least = crowded.groupBy("region").agg(F.min("id").alias("b"))
             found.append(crowded.join(least, "region").select(F.col("id").alias("a"), "b"))
         left = classes.join(crowded.select("id").distinct(), "id", "left_semi")
@@ -209,22 +217,48 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed_edges(rows: DataFrame, clumps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each clump the components of its links on full sets, as stars.
+def _task_edges(rows: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links inside each task, as stars; ``tasks``: doc_id, tasks (array)."""
+    # A merge join at every size: the plan doesn't hang on a side that happens to be small.
+    texts = rows.join(tasks.hint("merge"), "doc_id").select(F.explode("tasks").alias("task"), "doc_id", "text")
+    return texts.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _share(n, shingles):
+    """How many times a task's bounds that many classes and shingles are."""
+    return F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)
+
+
+def confirmed_edges(rows: DataFrame, clumps: DataFrame, percent: int, root: str) -> DataFrame:
+    """(a, b): stars whose components are those of all links inside the clumps.
 
     ``clumps``: id, component, n_shingles.  A clump that fits a task is one
-    task; a larger one is cut into blocks of half that, and every pair of
-    blocks is a task, so no pair of its members is left out.
+    task.  A larger one is cut into blocks of half that.  First each block
+    meets the clump's representatives.  Pairs inside the largest component
+    found can't join anything more; every other pair of the clump has a member
+    outside it, and those members (``rest``) meet all blocks.
     """
     sizes = clumps.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    share = F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)
-    placed = clumps.join(sizes, "component").withColumn("blocks", F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("component", F.least(x, F.col("own")), F.greatest(x, F.col("own"))))
-    tasks = placed.withColumn("own", own).select(F.col("id").alias("doc_id"), pair.alias("tasks"))
-    # A merge join at every size: the plan doesn't hang on a side that happens to be small.
-    texts = rows.join(tasks.hint("merge"), "doc_id").select(F.explode("tasks").alias("task"), "doc_id", "text")
-    return texts.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long")
+    share = _share(F.col("n"), F.col("s"))
+    cut = clumps.join(sizes, "component").withColumn("blocks", F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int"))
+    placed = scratch.stored(cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), f"{root}/placed")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    stands = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks") * PER_REPRESENTATIVE) == 0)
+    met = F.transform(F.when(stands, every).otherwise(F.array("own")), lambda j: F.xxhash64("component", j))
+    first = scratch.stored(_task_edges(rows, placed.select(F.col("id").alias("doc_id"), met.alias("tasks")), percent), f"{root}/links0")
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        return first
+    named = large.join(components(first).select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    main = named.groupBy("component", "label").agg(F.count("*").alias("size")).groupBy("component").agg(F.max(F.struct("size", "label")).alias("main"))
+    marked = scratch.stored(named.join(main, "component").withColumn("rest", F.col("label") != F.col("main.label")).select("id", "component", "n_shingles", "blocks", "own", "rest"), f"{root}/marked")
+    rest = marked.filter("rest").groupBy("component").agg(F.ceil(2 * _share(F.count("*"), F.sum("n_shingles"))).cast("int").alias("rest_blocks"))
+    both = marked.join(rest, "component")
+    as_any = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: F.xxhash64("component", i, "own"))
+    rest_own = F.pmod(F.xxhash64("id", F.lit(2)), F.col("rest_blocks")).cast("int")
+    as_rest = F.when(F.col("rest"), F.transform(every, lambda j: F.xxhash64("component", "rest_own", j))).otherwise(F.array().cast("array<bigint>"))
+    tasks = both.withColumn("rest_own", rest_own).select(F.col("id").alias("doc_id"), F.array_distinct(F.concat(as_any, as_rest)).alias("tasks"))
+    return first.union(_task_edges(rows, tasks, percent))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +288,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     usable = features.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.stored(usable.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), f"{root}/classes")
     clumps = components(likely_edges(classes.select("id", "signature"), root)).join(classes.select("id", "n_shingles"), "id")
-    links = components(confirmed_edges(rows.filter("doc_id is not null"), clumps, percent))
+    links = components(confirmed_edges(rows.filter("doc_id is not null"), clumps, percent, root))
     named = classes.join(links, "id", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "id").alias("class_component"))
     # ids of one vertex: a repeated id joins its rows' classes
     out = features.drop("signature").join(named, ["n_shingles", "fp1", "fp2"], "left")

@@ -47,6 +47,22 @@ def test_near_dedup_refines_crowded_regions(docs, texts, monkeypatch):
     assert got == brute.near(texts)
 
 
+def test_near_dedup_joins_crowds_with_unique_changes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 20)
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    base = [f"w{i}" for i in range(250)]
+    changed = lambda words, at, tag: " ".join(f"{tag}x{i}" if i in at else w for i, w in enumerate(words))
+    # a crowd whose members share no changed word
+    rows = [(i, changed(base, {(7 * i) % 250, (11 * i + 100) % 250}, f"u{i}")) for i in range(140)]
+    # texts beside the crowd, in the same clump: each links to the next one only
+    drift = base
+    for i in range(140, 170):
+        drift = changed(drift, set(range(8 * (i - 140), 8 * (i - 140) + 8)), "d").split()
+        rows.append((1000 - i, " ".join(drift)))
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.near(rows)
+
+
 def test_substring_dedup_equals_brute_force(docs, texts):
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.substring_dedup(docs)).collect()}
     assert got == brute.word_windows(texts)
