@@ -32,7 +32,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents"))
+    return near_dedup(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ and more orders so that a linked pair still meets almost surely:
     2       10       256      4e-5
 
 Orders of one signature share its values; the figures of levels 1 and 2 count
-that in (a mean over how many of the 64 values a pair agrees on).
+that in (a mean over how many of the 64 values a pair agrees on).  ``levels``
+and ``likely`` follow the threshold asked for: at 0.80 there are 32, 256 and
+768 orders.
 
 Inside a region signatures are compared and only stars (an edge a member)
 leave the task, never all pairs.  A region that is crowded even in the deepest
@@ -29,6 +31,8 @@ only the other members meet every block.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +44,12 @@ from plantpulse.llm.components import components
 U64 = np.uint64
 SHINGLE = 5
 VALUES = 64
-#: (prefix, orders) of each level.
-LEVELS = ((4, 16), (8, 128), (10, 256))
+#: (prefix, step of the number of orders) of each level.
+PREFIXES = ((4, 16), (8, 128), (10, 128))
+#: Most pairs at the threshold that a level may miss, and its most orders.
+MISSED = 5e-5
+MAX_ORDERS = 1024
 REGION = 2048
-#: Agreeing values from which a pair is likely: 5 deviations below 0.85 * 64.
-LIKELY = 40
 BLOCK = 4096
 BLOCK_SHINGLES = 4_000_000
 #: One of so many members of a block stands for its clump.
@@ -52,7 +57,43 @@ PER_REPRESENTATIVE = 8
 _KEEP = U64(14)
 
 _SEEDS = textbuf._table(77, VALUES) | U64(1)
-_ORDERS = {level: np.stack([np.roll(np.arange(VALUES), -4 * i) if level == 0 else np.random.default_rng(1000 * level + i).permutation(VALUES) for i in range(n)])[:, :d] for level, (d, n) in enumerate(LEVELS)}
+
+
+def _agreeing(percent: int) -> list[float]:
+    """Chance that a pair at the threshold agrees on k of the 64 values, for each k."""
+    s = percent / 100
+    return [comb(VALUES, k) * s**k * (1 - s) ** (VALUES - k) for k in range(VALUES + 1)]
+
+
+def missed(percent: int, prefix: int, orders: int) -> float:
+    """The part of pairs at the threshold that agree on no order's prefix."""
+    if prefix * orders <= VALUES:  # the orders share no value
+        return (1 - (percent / 100) ** prefix) ** orders
+    return sum(p * (1 - comb(k, prefix) / comb(VALUES, prefix)) ** orders for k, p in enumerate(_agreeing(percent)))
+
+
+def levels(percent: int) -> list[tuple[int, int]]:
+    """(prefix, orders) of each level.  A deeper level that would need more
+    than ``MAX_ORDERS`` is left out; the one before is then the deepest."""
+    out = []
+    for prefix, step in PREFIXES:
+        fit = next((n for n in range(step, MAX_ORDERS + 1, step) if missed(percent, prefix, n) <= MISSED), None)
+        if fit is None:
+            break
+        out.append((prefix, fit))
+    if not out:
+        raise ValueError(f"no number of orders up to {MAX_ORDERS} finds pairs at {percent} %")
+    return out
+
+
+def likely(percent: int) -> int:
+    """Agreeing values from which a pair is likely: fewer have a chance under 5e-6 at the threshold."""
+    return int(np.searchsorted(np.cumsum(_agreeing(percent)), 5e-6))
+
+
+def _orders(level: int, prefix: int, n: int) -> np.ndarray:
+    """The values of each order's prefix; the first of level 0 share none."""
+    return np.stack([np.roll(np.arange(VALUES), -prefix * i)[:prefix] if level == 0 and prefix * (i + 1) <= VALUES else np.random.default_rng(1000 * level + i).permutation(VALUES)[:prefix] for i in range(n)])
 
 
 def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +152,7 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
 
 
-def _region_keys(level: int):
-    orders = _ORDERS[level]
-
+def _region_keys(orders: np.ndarray):
     def run(batches):
         for b in batches:
             if b.num_rows == 0:
@@ -157,28 +196,33 @@ def _stars(ids: np.ndarray, groups, near) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
 
-def _spanning(batches):
+def _spanning(least: int):
     """Of each region the components of its likely pairs, as stars."""
-    for t in textbuf.whole_groups(batches, "region"):
-        m = _matrix(t.column("signature"))
-        yield _stars(t.column("id").to_numpy(), textbuf.group_bounds(t.column("region").to_numpy()), lambda i, others: (m[others] == m[i]).sum(1) >= LIKELY)
+
+    def run(batches):
+        for t in textbuf.whole_groups(batches, "region"):
+            m = _matrix(t.column("signature"))
+            yield _stars(t.column("id").to_numpy(), textbuf.group_bounds(t.column("region").to_numpy()), lambda i, others: (m[others] == m[i]).sum(1) >= least)
+
+    return run
 
 
-def likely_edges(classes: DataFrame, root: str) -> DataFrame:
+def likely_edges(classes: DataFrame, percent: int, root: str) -> DataFrame:
     """(a, b): stars of the likely components of all regions, level by level."""
     spark = classes.sparkSession
     found = []
     left = classes
-    for level in range(len(LEVELS)):
-        keys = left.mapInArrow(_region_keys(level), "region long, id long").repartition("region")
+    depths = levels(percent)
+    for level, (prefix, n) in enumerate(depths):
+        keys = left.mapInArrow(_region_keys(_orders(level, prefix, n)), "region long, id long").repartition("region")
         counts = keys.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
         members = scratch.stored(keys.join(counts, "region"), f"{root}/regions{level}")
         fit = members.filter(F.col("n") <= REGION).select("region", "id").join(classes, "id")
-        found.append(fit.repartition("region").sortWithinPartitions("region").mapInArrow(_spanning, "a long, b long"))
+        found.append(fit.repartition("region").sortWithinPartitions("region").mapInArrow(_spanning(likely(percent)), "a long, b long"))
         crowded = members.filter(F.col("n") > REGION)
         if crowded.isEmpty():
             break
-        if level == len(LEVELS) - 1:  # no deeper prefix: all its members are likely
+        if level == len(depths) - 1:  # no deeper prefix: all its members are likely
             least = crowded.groupBy("region").agg(F.min("id").alias("b"))
             found.append(crowded.join(least, "region").select(F.col("id").alias("a"), "b"))
         left = classes.join(crowded.select("id").distinct(), "id", "left_semi")
@@ -287,7 +331,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     features = scratch.stored(rows.mapInArrow(_features, "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary"), f"{root}/features")
     usable = features.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.stored(usable.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), f"{root}/classes")
-    clumps = components(likely_edges(classes.select("id", "signature"), root)).join(classes.select("id", "n_shingles"), "id")
+    clumps = components(likely_edges(classes.select("id", "signature"), percent, root)).join(classes.select("id", "n_shingles"), "id")
     links = components(confirmed_edges(rows.filter("doc_id is not null"), clumps, percent, root))
     named = classes.join(links, "id", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "id").alias("class_component"))
     # ids of one vertex: a repeated id joins its rows' classes

@@ -63,6 +63,19 @@ def test_near_dedup_joins_crowds_with_unique_changes(spark, monkeypatch):
     assert got == brute.near(rows)
 
 
+def test_near_dedup_follows_its_threshold(spark):
+    assert near_dedup.levels(85) == [(4, 16), (8, 128), (10, 256)] and near_dedup.likely(85) == 40
+    for percent in (70, 80, 85, 95):
+        assert all(near_dedup.missed(percent, d, n) <= near_dedup.MISSED for d, n in near_dedup.levels(percent))
+        assert sum(near_dedup._agreeing(percent)[: near_dedup.likely(percent)]) <= 5e-6
+    # 40 pairs of 236 shingles with 5 changed words: similarity 211 / 261 = 0.808
+    pairs = [[f"p{i}w{j}" for j in range(240)] for i in range(40)]
+    rows = [(2 * i + k, " ".join("new" if k and j % 48 == 20 else w for j, w in enumerate(p))) for i, p in enumerate(pairs) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.without_near_duplicates(df, 80).collect()} == set(range(0, 80, 2))
+    assert near_dedup.without_near_duplicates(df, 85).count() == 80
+
+
 def test_substring_dedup_equals_brute_force(docs, texts):
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.substring_dedup(docs)).collect()}
     assert got == brute.word_windows(texts)
