@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +75,16 @@ def _first_in_group(group, key):
     return out
 
 
+def _lines(buf, offs, ws):
+    """Starts, ends, first word, past last word and text of the lines: runs
+    without a newline; those without a word don't count."""
+    ls, le = textbuf.runs(buf != 10, offs)
+    first_word, past_word = np.searchsorted(ws, ls), np.searchsorted(ws, le)
+    has = past_word > first_word
+    ls, le, first_word, past_word = ls[has], le[has], first_word[has], past_word[has]
+    return ls, le, first_word, past_word, np.searchsorted(offs, ls, "right") - 1
+
+
 def _stats(batches):
     for b in textbuf.slices(batches, "text"):
         buf, offs = textbuf.flat(b.column("text"))
@@ -83,12 +94,7 @@ def _stats(batches):
         exact = textbuf.span_hashes(buf, ws, we)
         lower = textbuf.span_hashes(textbuf.lower_ascii(buf), ws, we)
         in_word = ~textbuf._SEP[buf]
-        # lines: runs without a newline; those without a word don't count
-        ls, le = textbuf.runs(buf != 10, offs)
-        first_word, past_word = np.searchsorted(ws, ls), np.searchsorted(ws, le)
-        has = past_word > first_word
-        ls, le, first_word, past_word = ls[has], le[has], first_word[has], past_word[has]
-        line_doc = np.searchsorted(offs, ls, "right") - 1
+        ls, le, first_word, past_word, line_doc = _lines(buf, offs, ws)
         raw = textbuf.span_hashes(buf, ls, le)
         dup = ~_first_in_group(line_doc, raw)
         norm = textbuf.value_spans(lower, first_word, past_word)
@@ -149,7 +155,7 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: st
     left = F.col("n_words") - F.col("n_removed_words")
     return (
         stats.drop("lines", "line_words")
-        .join(removed, ["host", "text_key"], "left")
+        .join(removed.drop("removed_lines"), ["host", "text_key"], "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", _base_failed(limits))
         .withColumn("kept", ~F.col("base_failed") & (left >= limits.min_left * F.col("n_words")))
@@ -162,13 +168,13 @@ def _base_failed(limits: LineLimits):
 
 
 def _removed_words(docs, limits, id_col, text_col, host_col) -> tuple[DataFrame, DataFrame]:
-    """Document stats, and for each text of a host the words on frequent lines."""
+    """Document stats, and for each text of a host its frequent lines and the words on them."""
     stats = scratch.stored(document_stats(docs, id_col, text_col, host_col), scratch.root(docs.sparkSession) + "/stats")
     frequent = frequent_lines(stats, limits)
     # Equal texts of a host get one verdict, so their lines are joined once.
     texts = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_key", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
-    removed = lines.join(frequent.select("host", "line"), ["host", "line"], "left_semi").groupBy("host", "text_key").agg(F.sum("w").cast("long").alias("n_removed_words"))
+    removed = lines.join(frequent.select("host", "line"), ["host", "line"], "left_semi").groupBy("host", "text_key").agg(F.sum("w").cast("long").alias("n_removed_words"), F.collect_list("line").alias("removed_lines"))
     return stats, removed
 
 
@@ -187,15 +193,53 @@ def _filter_rows(limits: LineLimits, text_col: str, host_col: str):
     return run
 
 
-def passing(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+def _cut_lines(text_col: str, chars_col: str, names: list[str]):
+    """Cut each text's lines whose hashes are in ``__lines``."""
+
+    def run(batches):
+        for b in textbuf.slices(batches, text_col):
+            lists = b.column("__lines")
+            hit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            columns = {c: b.column(c) for c in names}
+            if len(hit):
+                buf, offs = textbuf.flat(b.column(text_col))
+                ws, we = textbuf.words(buf, offs)
+                ls, le, first_word, past_word, line_doc = _lines(buf, offs, ws)
+                norm = textbuf.value_spans(textbuf.span_hashes(textbuf.lower_ascii(buf), ws, we), first_word, past_word).view(np.int64)
+                of = np.searchsorted(line_doc, np.arange(b.num_rows + 1))
+                mark = np.zeros(len(buf) + 1, np.int32)
+                for i in hit.tolist():
+                    at = of[i] + np.flatnonzero(np.isin(norm[of[i] : of[i + 1]], lists[i].values.to_numpy()))
+                    mark[ls[at]] += 1
+                    np.add.at(mark, np.minimum(le[at] + 1, offs[i + 1]), -1)
+                keep = np.cumsum(mark)[:-1] == 0
+                ends = np.concatenate([[0], np.cumsum(textbuf.sums(keep, offs))]).tolist()
+                raw, texts = buf[keep].tobytes(), b.column(text_col).to_pylist()
+                for i in hit.tolist():
+                    texts[i] = raw[ends[i] : ends[i + 1]].decode()
+                columns[text_col] = pa.array(texts, pa.string())
+                if chars_col in columns:
+                    old = columns[chars_col]
+                    columns[chars_col] = pc.if_else(lists.is_valid(), pc.utf8_length(columns[text_col]).cast(old.type), old)
+            yield pa.record_batch(list(columns.values()), names)
+
+    return run
+
+
+def passing(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns
+    and without the lines above the limits.
 
-    Base rules need no other document and are applied where a row is read, so
-    texts don't move; only depleted texts, few, are joined away.
+    A removed line goes with the newline after it; all else of a text stays,
+    and a character count is brought up to date.  Base rules need no other
+    document and are applied where a row is read; texts then meet the hashes
+    of their frequent lines.
     """
     stats, removed = _removed_words(docs, limits, id_col, text_col, host_col)
     sizes = stats.filter(~_base_failed(limits)).select("host", "text_key", "n_words").distinct()
-    depleted = removed.join(sizes, ["host", "text_key"]).filter(F.col("n_words") - F.col("n_removed_words") < limits.min_left * F.col("n_words"))
-    depleted = scratch.stored(depleted.select(F.col("host").alias("__host"), F.col("text_key").alias("__key")), scratch.root(docs.sparkSession) + "/depleted")
+    left = F.col("n_words") - F.col("n_removed_words")
+    judged = removed.join(sizes, ["host", "text_key"]).select(F.col("host").alias("__host"), F.col("text_key").alias("__key"), F.col("removed_lines").alias("__lines"), (left < limits.min_left * F.col("n_words")).alias("__depleted"))
+    judged = scratch.stored(judged, scratch.root(docs.sparkSession) + "/judged")
     kept = docs.mapInArrow(_filter_rows(limits, text_col, host_col), T.StructType([*docs.schema.fields, T.StructField("__text_key", T.LongType())]))
-    return kept.join(depleted, (_host(host_col) == F.col("__host")) & (F.col("__text_key") == F.col("__key")), "left_anti").drop("__text_key")
+    met = kept.join(judged, (_host(host_col) == F.col("__host")) & (F.col("__text_key") == F.col("__key")), "left").filter(~F.coalesce("__depleted", F.lit(False)))
+    return met.select(*docs.columns, "__lines").mapInArrow(_cut_lines(text_col, chars_col, docs.columns), docs.schema)

@@ -31,6 +31,17 @@ def test_quality_lines_count_distinct_documents_of_a_host(spark):
     assert {r.doc_id for r in stage.collect()} == {d for d, (_, kept) in got.items() if kept}
 
 
+def test_quality_stage_cuts_frequent_lines(spark):
+    boiler = " ".join(f"B{i}" for i in range(20))
+    own = lambda i: " ".join(f"é{i}x{j}" for j in range(60))
+    texts = [f"{boiler}\n{own(i)}\n\n {boiler.lower()} \nend {i}" if i % 2 else f"{own(i)}\n{boiler}" for i in range(12)] + [f"\n{own(50)}\nlast\n", None]
+    df = spark.createDataFrame([(i, t, "h", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int")
+    limits = quality_rules.LineLimits(min_documents=10, max_share=0.1)
+    got = {r.doc_id: (r.text, r.n_chars) for r in quality_rules.passing(df, limits).collect()}
+    want = [f"{own(i)}\n\nend {i}" if i % 2 else f"{own(i)}\n" for i in range(12)] + [texts[12]]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_near_dedup_equals_brute_force(docs, texts):
     got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_dedup(docs).collect()}
     assert got == brute.near(texts)
