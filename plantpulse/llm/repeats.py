@@ -7,15 +7,19 @@ Neighbouring windows share anchors, so a document becomes a list of short
 runs of windows, each under one anchor, and everything below moves runs.
 
 1. ``sketch``: every partition counts its runs' anchors in a count-min sketch
-   (two rows of saturating counters, sent sparse, in segments); the segments
-   are added up and kept as one bit a cell: "twice or more".
+   (two rows of counters, sent sparse, in segments); the segments are added up
+   and kept as one bit a cell ("twice or more") and a list of the hot cells.
    An anchor's count is at least that of each of its windows, so the merged
    sketch overestimates window counts and loses no repeated window.
 2. ``candidates``: a second scan keeps the runs whose anchor is estimated
-   repeated, after settling repeats among the documents at hand: runs whose
-   windows all occur earlier among those need no partner any more.
+   repeated.  Runs under a hot anchor are divided by where the anchor stands in
+   their windows and named anew by the content that those windows share, so
+   that equal windows still meet and different ones part (``divided``).
+   Repeats among the documents at hand are settled: runs whose windows all
+   occur earlier among those need no partner any more and leave at once, one
+   row a document.
 3. An exact step by anchor (hash groups or suffix arrays) marks windows that
-   also start earlier.
+   also start earlier, a row for each run that has some.
 
 The sketch's width follows the corpus up to ``max_cells``; beyond, more runs
 pass the filter, and the exact step still decides: results don't depend on it.
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -37,19 +42,23 @@ from plantpulse.llm import scratch, textbuf
 U64 = np.uint64
 #: Cells of one segment of a sketch row.
 SEGMENT_BITS = 20
-CANDIDATES = "anchor long, doc_id long, row_key long, start int, n int, data binary"
+CANDIDATES = "anchor long, doc_id long, row_key long, start int, n int, data binary, runs binary"
+_COLUMNS = [c.split()[0] for c in CANDIDATES.split(", ")]
 REMOVED = "doc_id long, row_key long, runs binary"
 
 
 @dataclass(frozen=True)
 class Windows:
     """``width`` items a window; anchors are grams of ``gram`` items.
-    ``of_bytes``: items are bytes, else words."""
+    ``of_bytes``: items are bytes, else words.  An anchor of ``hot`` runs or
+    more has its runs divided into ``parts``."""
 
     width: int
     gram: int
     of_bytes: bool
     max_cells: int = 1 << 31
+    hot: int = 50_000
+    parts: int = 8
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,35 +131,44 @@ def _sketch_part(w: Windows, bits: int):
         anchors = np.concatenate(seen)
         for row, cells in enumerate(_cells(anchors, bits)):
             cells, n = np.unique(cells, return_counts=True)
-            packed = ((cells & U64((1 << SEGMENT_BITS) - 1)) << U64(2) | np.minimum(n, 2).astype(U64)).astype("<u4")
+            packed = ((cells & U64((1 << SEGMENT_BITS) - 1)) << U64(2) | np.minimum(n, 3).astype(U64)).astype("<u4")
+            n = n.astype("<u4")
             segment = (cells >> U64(SEGMENT_BITS)).astype(np.int64)
             at = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(segment) else np.empty(0, np.int64)
             stops = np.append(at[1:], len(segment))
             for lo in range(0, len(at), 256):
                 a, z = at[lo : lo + 256], stops[lo : lo + 256]
-                yield pa.record_batch([pa.array([row] * len(a), pa.int32()), pa.array(segment[a].astype(np.int32)), pa.array([packed[i:j].tobytes() for i, j in zip(a, z)], pa.binary())], ["row", "segment", "part"])
+                yield pa.record_batch([pa.array([row] * len(a), pa.int32()), pa.array(segment[a].astype(np.int32)), pa.array([packed[i:j].tobytes() for i, j in zip(a, z)], pa.binary()), pa.array([n[i:j][n[i:j] > 2].tobytes() for i, j in zip(a, z)], pa.binary())], ["row", "segment", "part", "more"])
 
     return run
 
 
-def _add_parts(batches):
-    """Add up the parts of each (row, segment); they arrive sorted."""
-    key, total = None, None
+def _add_parts(hot: int):
+    """Add up the parts of each (row, segment); they arrive sorted.
 
-    def bitmap():
-        return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(total >= 2, bitorder="little").tobytes()], pa.binary())], ["row", "segment", "repeated"])
+    A part's counts of 3 and more stand in ``more``, in the order of its cells.
+    """
+
+    def run(batches):
+        key, total = None, None
+
+        def merged():
+            return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(total >= 2, bitorder="little").tobytes()], pa.binary()), pa.array([np.flatnonzero(total >= hot).astype("<u4").tobytes()], pa.binary())], ["row", "segment", "repeated", "hot"])
+
+        for b in batches:
+            for row, segment, part, more in zip(b.column("row").to_pylist(), b.column("segment").to_pylist(), b.column("part"), b.column("more")):
+                if (row, segment) != key:
+                    if key is not None:
+                        yield merged()
+                    key, total = (row, segment), np.zeros(1 << SEGMENT_BITS, np.int64)
+                packed = np.frombuffer(part.as_buffer(), "<u4")
+                n = (packed & 3).astype(np.int64)
+                n[n == 3] = np.frombuffer(more.as_buffer(), "<u4")
+                total[packed >> 2] += n
+        if key is not None:
+            yield merged()
 
-    for b in batches:
-        for row, segment, part in zip(b.column("row").to_pylist(), b.column("segment").to_pylist(), b.column("part")):
-            if (row, segment) != key:
-                if key is not None:
-                    yield bitmap()
-                key, total = (row, segment), np.zeros(1 << SEGMENT_BITS, np.uint8)
-            packed = np.frombuffer(part.as_buffer(), "<u4")
-            cells = packed >> 2
-            total[cells] = np.minimum(total[cells] + (packed & 3).astype(np.uint8), 2)
-    if key is not None:
-        yield bitmap()
+    return run
 
 
 def sketch(rows: DataFrame, w: Windows, path: str) -> int:
@@ -158,38 +176,69 @@ def sketch(rows: DataFrame, w: Windows, path: str) -> int:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_run = (w.width - w.gram + 2) / 2 * (1 if w.of_bytes else 6)
     bits = int(min(max(SEGMENT_BITS, np.ceil(np.log2(8 * total / per_run + 1))), np.log2(w.max_cells)))
-    parts = rows.select("text").mapInArrow(_sketch_part(w, bits), "row int, segment int, part binary")
-    merged = parts.repartition("row", "segment").sortWithinPartitions("row", "segment").mapInArrow(_add_parts, "row int, segment int, repeated binary")
+    parts = rows.select("text").mapInArrow(_sketch_part(w, bits), "row int, segment int, part binary, more binary")
+    merged = parts.repartition("row", "segment").sortWithinPartitions("row", "segment").mapInArrow(_add_parts(w.hot), "row int, segment int, repeated binary, hot binary")
     scratch.stored(merged, path)
     return bits
 
 
-_LOADED: dict[str, list[np.ndarray]] = {}
+_LOADED: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def _load(path: str, bits: int) -> list[np.ndarray]:
-    """The merged sketch as two bitmaps, kept by the Python worker."""
+def _load(path: str, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row of the merged sketch as bitmap and sorted hot cells, kept by the Python worker."""
     if path not in _LOADED:
         _LOADED.clear()
         size = (1 << SEGMENT_BITS) // 8
         rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
+        hot: list[list[np.ndarray]] = [[], []]
         fs, where = pafs.FileSystem.from_uri(path)
         for info in fs.get_file_info(pafs.FileSelector(where)):
             if info.path.endswith(".parquet"):
                 for b in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(64):
-                    for row, segment, bitmap in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    for row, segment, bitmap, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                         rows[row][segment * size : (segment + 1) * size] = np.frombuffer(bitmap.as_buffer(), np.uint8)
-        _LOADED[path] = rows
+                        hot[row].append(np.frombuffer(cells.as_buffer(), "<u4").astype(U64) | U64(segment << SEGMENT_BITS))
+        _LOADED[path] = [(r, np.sort(np.concatenate(h)) if h else np.empty(0, U64)) for r, h in zip(rows, hot)]
     return _LOADED[path]
 
 
 def estimated_repeated(anchors: np.ndarray, path: str, bits: int) -> np.ndarray:
     keep = np.ones(len(anchors), bool)
-    for bitmap, cells in zip(_load(path, bits), _cells(anchors, bits)):
+    for (bitmap, _), cells in zip(_load(path, bits), _cells(anchors, bits)):
         keep &= (bitmap[cells >> U64(3)] >> (cells & U64(7)).astype(np.uint8)) & 1 == 1
     return keep
 
 
+def estimated_hot(anchors: np.ndarray, path: str, bits: int) -> np.ndarray:
+    """Whether an anchor may have the sketch's hot count: true for all that have."""
+    out = np.ones(len(anchors), bool)
+    for (_, hot), cells in zip(_load(path, bits), _cells(anchors, bits)):
+        out &= np.isin(cells, hot)
+    return out
+
+
+def divided(values: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, at: np.ndarray, w: Windows):
+    """(start, n, anchor) of the runs cut into ``parts``, each with an anchor of its own.
+
+    Equal windows hold their anchor at equal offsets, so a part is a range of
+    offsets.  All windows of a part share the items from the farthest left to
+    the farthest right that each of them reaches; these name the part's group.
+    With a part for each offset that is the whole window.
+    """
+    span = w.width - w.gram
+    bounds = np.linspace(0, span + 1, min(w.parts, span + 1) + 1).astype(np.int64)
+    out = []
+    for lo, hi in zip(bounds[:-1], bounds[1:] - 1):  # offsets lo .. hi
+        first, last = np.maximum(start, at - hi), np.minimum(start + n - 1, at - lo)
+        own = first <= last
+        a = at[own]
+        with np.errstate(over="ignore"):
+            key = textbuf.mix(_span(values, a - lo, a + w.gram + span - hi) + anchor[own] + U64(lo))
+        out.append((first[own], (last - first)[own] + 1, key))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
 def _ranks(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Dense ranks of (document, row, start), equal places ranked alike."""
     order = np.lexsort((start, key, doc))
@@ -226,9 +275,13 @@ def _slice_runs(b, w: Windows, path: str, bits: int):
     """The runs of one slice whose anchor is estimated repeated, with content:
     window hashes (words) or snippets and their hashes (bytes)."""
     values, per, buf = _items(b, w)
-    start, n, anchor, _ = runs(values, per, w)
+    start, n, anchor, at = runs(values, per, w)
     hit = np.flatnonzero(estimated_repeated(anchor, path, bits))
-    start, n, anchor = start[hit], n[hit], anchor[hit]
+    start, n, anchor, at = start[hit], n[hit], anchor[hit], at[hit]
+    hot = estimated_hot(anchor, path, bits)
+    if hot.any():
+        parts = divided(values, start[hot], n[hot], anchor[hot], at[hot], w)
+        start, n, anchor = (np.concatenate([x[~hot], y]) for x, y in zip((start, n, anchor), parts))
     first = np.concatenate([[0], np.cumsum(per)])
     owner = np.searchsorted(first, start, "right") - 1
     doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
@@ -242,21 +295,28 @@ def _slice_runs(b, w: Windows, path: str, bits: int):
 
 
 def _settle(held: list, w: Windows):
-    """One batch of candidates; runs that occur earlier in it lose their data."""
+    """One batch of candidates: open runs with their data, and for each
+    document a row with those that occur earlier in the batch."""
     doc, key, place, n, anchor, hashes = (np.concatenate([h[i] for h in held]) for i in range(6))
+    ends = np.cumsum(n)
     if w.of_bytes:
-        blobs = [x for h in held for x in h[6]]
         settled = later((hashes, anchor), _ranks(doc, key, place))
-        data = [None if s else x for s, x in zip(settled.tolist(), blobs)]
+        blobs = [x for h in held for x in h[6]]
     else:
         run_of = np.repeat(np.arange(len(n)), n)
         late = later((hashes, anchor[run_of]), _ranks(doc, key, place)[run_of] * w.width + expand(np.zeros(len(n), np.int64), n))
-        ends = np.cumsum(n)
         settled = np.add.reduceat(late.astype(np.int64), ends - n) == n
-        data = [None if s else hashes[i:j].tobytes() for s, i, j in zip(settled.tolist(), (ends - n).tolist(), ends.tolist())]
-    with np.errstate(over="ignore"):  # settled runs need no partner: spread them
-        anchor = np.where(settled, textbuf.mix(doc.view(U64) + place.astype(U64)), anchor)
-    return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(key), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], ["anchor", "doc_id", "row_key", "start", "n", "data"])
+    open_ = np.flatnonzero(~settled)
+    if w.of_bytes:
+        data = [blobs[i] for i in open_.tolist()]
+    else:
+        data = [hashes[i:j].tobytes() for i, j in zip((ends - n)[open_].tolist(), ends[open_].tolist())]
+    yield pa.record_batch([pa.array(anchor[open_].view(np.int64)), pa.array(doc[open_]), pa.array(key[open_]), pa.array(place[open_].astype(np.int32)), pa.array(n[open_].astype(np.int32)), pa.array(data, pa.binary()), pa.nulls(len(open_), pa.binary())], _COLUMNS)
+    done = removed_rows(doc[settled], key[settled], place[settled], n[settled])
+    if done.num_rows:  # they need no partner: spread them
+        spread = textbuf.mix(done.column("doc_id").to_numpy().view(U64)).view(np.int64)
+        zero = pa.array(np.zeros(done.num_rows, np.int32))
+        yield pa.record_batch([pa.array(spread), done.column("doc_id"), done.column("row_key"), zero, zero, pa.nulls(done.num_rows, pa.binary()), done.column("runs")], _COLUMNS)
 
 
 def _candidates(w: Windows, path: str, bits: int, hold_bytes: int = 12_000_000):
@@ -268,10 +328,10 @@ def _candidates(w: Windows, path: str, bits: int, hold_bytes: int = 12_000_000):
                 held.append(found)
                 size += 40 * len(found[0]) + found[5].nbytes + sum(map(len, found[6]))
             if size > hold_bytes:
-                yield _settle(held, w)
+                yield from _settle(held, w)
                 held, size = [], 0
         if held:
-            yield _settle(held, w)
+            yield from _settle(held, w)
 
     return run
 
@@ -282,7 +342,8 @@ def _span(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def candidates(rows: DataFrame, w: Windows, path: str, bits: int) -> DataFrame:
-    """Runs with an anchor estimated repeated; settled ones without data.
+    """Open runs whose anchor is estimated repeated, with ``data``, and a row
+    with packed ``runs`` for each document that has settled ones.
 
     Rows without an id have no place in the order: they match nothing.
     """
@@ -299,13 +360,28 @@ def removed_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndar
     return pa.record_batch([pa.array(doc[at].astype(np.int64)), pa.array(key[at].astype(np.int64)), pa.array([pairs[i:j].tobytes() for i, j in zip(at, stops)], pa.binary())], ["doc_id", "row_key", "runs"])
 
 
-def window_runs(doc, key, start, flagged):
-    """Join flagged windows that follow each other into runs."""
-    doc, key, start = doc[flagged], key[flagged], start[flagged]
-    order = np.lexsort((start, key, doc))
-    doc, key, start = doc[order], key[order], start[order]
+def removed_runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray):
+    """One row for each run: their number doesn't hang on how tasks are dealt."""
+    pairs = np.stack([start, n], axis=1).astype("<i4").tobytes()
+    offs = np.arange(0, 8 * len(doc) + 1, 8, dtype=np.int32)
+    runs_ = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(pairs)])
+    return pa.record_batch([pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), runs_], ["doc_id", "row_key", "runs"])
+
+
+def settled_rows(t: pa.Table) -> pa.RecordBatch:
+    """The rows of a table of candidates that are finished."""
+    done = t.filter(t.column("runs").is_valid()).select(["doc_id", "row_key", "runs"]).combine_chunks()
+    return pa.record_batch([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in done.columns], done.schema.names)
+
+
+def window_runs(run: np.ndarray, doc, key, start, flagged):
+    """Join flagged windows of one run that follow each other.
+
+    Windows of a run stand together and in order; ``run`` numbers them.
+    """
+    run, doc, key, start = run[flagged], doc[flagged], key[flagged], start[flagged]
     head = np.ones(len(doc), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
+    head[1:] = (run[1:] != run[:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(head)
     stops = np.append(at[1:], len(doc))
     n = start[stops - 1] - start[at] + 1 if len(at) else at
@@ -323,9 +399,11 @@ def covered(batch: pa.RecordBatch, per_text: np.ndarray, width: int, column: str
     total = int(per_text.sum())
     mark = np.zeros(total + 1, np.int64)
     first = np.concatenate([[0], np.cumsum(per_text)])
-    for i, parts in enumerate(batch.column(column)):
-        if parts.is_valid:
-            pairs = np.concatenate([np.frombuffer(p.as_buffer(), "<i4").reshape(-1, 2) for p in parts.values]).astype(np.int64)
-            np.add.at(mark, first[i] + pairs[:, 0], 1)
-            np.add.at(mark, np.minimum(first[i] + pairs[:, 0] + pairs[:, 1] + width - 1, first[i + 1]), -1)
+    parts = batch.column(column)
+    buf, offs = textbuf.flat(parts.flatten())
+    pairs = np.frombuffer(buf.tobytes(), "<i4").reshape(-1, 2).astype(np.int64)
+    ends = offs[np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64))] // 8
+    row = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+    np.add.at(mark, first[row] + pairs[:, 0], 1)
+    np.add.at(mark, np.minimum(first[row] + pairs[:, 0] + pairs[:, 1] + width - 1, first[row + 1]), -1)
     return np.cumsum(mark)[:total] > 0

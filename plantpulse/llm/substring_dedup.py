@@ -17,21 +17,29 @@ from plantpulse.llm import repeats, scratch, textbuf
 
 
 def _resolve(batches):
-    for t in textbuf.whole_groups(batches, "anchor"):
-        anchor, doc, key, start, n = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "row_key", "start", "n"))
-        start, n = start.astype(np.int64), n.astype(np.int64)
-        open_ = t.column("data").is_valid().to_numpy()
-        done = ~open_
-        yield repeats.removed_rows(doc[done], key[done], start[done], n[done])
-        if not open_.any():
-            continue
-        hashes = np.frombuffer(b"".join(t.column("data").drop_null().to_pylist()), np.uint64)
-        anchor, doc, key, start, n = (x[open_] for x in (anchor, doc, key, start, n))
-        run_of = np.repeat(np.arange(len(n)), n)
-        place = repeats.expand(start, n)
-        rank = repeats._ranks(doc[run_of], key[run_of], place)
-        flagged = repeats.later((hashes, anchor[run_of]), rank)
-        yield repeats.removed_rows(*repeats.window_runs(doc[run_of], key[run_of], place, flagged))
+    """Windows of each anchor's runs that also start earlier.
+
+    A group that exceeds a chunk goes on in the next: of what went before, only
+    the earliest place of each window is carried along.
+    """
+    carry = None
+    for t, unfinished in textbuf.group_chunks(batches, "anchor"):
+        yield repeats.settled_rows(t)
+        t = t.filter(t.column("data").is_valid())
+        anchor, doc, key, start, n = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "row_key", "start", "n"))
+        hashes = np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint64)
+        run = np.repeat(np.arange(len(n)), n)
+        windows = [anchor[run], doc[run], key[run], repeats.expand(start, n), hashes, run]
+        if carry is not None:  # each window a run of its own
+            windows = [np.concatenate([x, y]) for x, y in zip(windows, [*carry, len(n) + np.arange(len(carry[0]))])]
+        anchor, doc, key, place, hashes, run = windows
+        flagged = repeats.later((hashes, anchor), repeats._ranks(doc, key, place))
+        yield repeats.removed_runs(*repeats.window_runs(run, doc, key, place, flagged))
+        carry = None
+        if unfinished is not None:
+            rest = np.flatnonzero(~flagged & (anchor == unfinished))
+            rest = rest[np.unique(hashes[rest], return_index=True)[1]]
+            carry = [x[rest] for x in windows[:5]]
 
 
 def repeated_windows(rows: DataFrame, w: repeats.Windows) -> DataFrame:
@@ -69,6 +77,11 @@ def _apply(width: int):
     return run
 
 
+def _windows(width: int, gram: int) -> repeats.Windows:
+    """A hot anchor's runs are divided into single windows: they send hashes only."""
+    return repeats.Windows(width, gram, False, parts=width)
+
+
 def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, row_key, n_words, n_removed, kept_text.
 
@@ -80,8 +93,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     empty result; other columns are ignored.
     """
     rows = repeats.identified(docs, id_col, text_col)
-    w = repeats.Windows(width, gram, False)
-    joined = repeats.with_removed(rows, repeated_windows(rows, w))
+    joined = repeats.with_removed(rows, repeated_windows(rows, _windows(width, gram)))
     return joined.mapInArrow(_apply(width), "doc_id long, row_key long, n_words long, n_removed long, kept_text string")
 
 
@@ -116,8 +128,7 @@ def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     White space between kept words stays; a character count is brought up to
     date.  Texts that lose nothing are unchanged, nulls stay null.
     """
-    w = repeats.Windows(width, gram, False)
-    removed = repeated_windows(repeats.identified(docs, id_col, text_col), w)
+    removed = repeated_windows(repeats.identified(docs, id_col, text_col), _windows(width, gram))
     per_doc = removed.groupBy(F.col("doc_id").alias("__doc_id"), F.col("row_key").alias("__row_key")).agg(F.collect_list("runs").alias("__runs"))
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))})
     joined = keyed.join(per_doc, (F.col("__id") == F.col("__doc_id")) & (F.col("__key") == F.col("__row_key")), "left").select(*docs.columns, "__runs")

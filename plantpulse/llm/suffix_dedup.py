@@ -10,7 +10,8 @@ and its permuted common prefixes; neighbours in suffix order that share 100
 bytes form a group, and all of a group's strings but the earliest go.
 A snippet stored many times is one snippet with its earliest place, so a hot
 passage costs its length once, and an anchor with one distinct snippet has no
-other to be sorted against.
+other to be sorted against.  An anchor that very many snippets share is divided
+by the bytes around it (``repeats.divided``), so that no shard holds them all.
 """
 
 from __future__ import annotations
@@ -42,7 +43,11 @@ def _groups(text: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> n
 
 
 def _shard(anchor, doc, key, start, n, blobs: list[bytes], width: int):
-    """Which windows of a shard's runs also start earlier: (doc, key, start, n)."""
+    """The runs of a shard's windows that also start earlier: (doc, key, start, n).
+
+    Rows equal in place are rows of one document: what is said of one holds
+    for all.
+    """
     snippets: dict[bytes, int] = {}
     which = np.array([snippets.setdefault(x, len(snippets)) for x in blobs])
     place = repeats._ranks(doc, key, start)
@@ -51,12 +56,12 @@ def _shard(anchor, doc, key, start, n, blobs: list[bytes], width: int):
     copy = place > earliest[which]
     at = np.full(len(snippets), -1)
     at[which[~copy]] = np.flatnonzero(~copy)  # a row that stands at the earliest place
-    of_anchor = anchor[at]
-    _, number, several = np.unique(of_anchor, return_inverse=True, return_counts=True)
+    _, number, several = np.unique(anchor[at], return_inverse=True, return_counts=True)
     sorted_ = several[number] > 1
+    copies = (doc[copy], key[copy], start[copy], n[copy])
     if not sorted_.any():
-        return doc[copy], key[copy], start[copy], n[copy]
-    at_sorted = at[sorted_]
+        return copies
+    at = at[sorted_]
     chosen = [x for x, s in zip(snippets, sorted_.tolist()) if s]
     sizes = np.array([len(x) for x in chosen], np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
@@ -64,35 +69,22 @@ def _shard(anchor, doc, key, start, n, blobs: list[bytes], width: int):
     text = np.ones(int((sizes + 1).sum()) + 1, np.int64)
     text[repeats.expand(first, sizes)] = joined
     text[-1] = 0
-    count = n[at_sorted]
-    group = _groups(text, first, count, width)
-    run_of = np.repeat(at_sorted, count)
-    where = repeats.expand(start[at_sorted], count)
-    late = repeats.later((group,), repeats._ranks(doc[run_of], key[run_of], where))
-    d, k, s, m = repeats.window_runs(doc[run_of], key[run_of], where, late)
-    # a window that stands at two rows' earliest place concerns both
-    twin = ~copy & (at[which] != np.arange(len(which)))
-    if twin.any() and late.any():
-        hit = np.isin(run_of, at[which[twin]])
-        flags = {(a, b): c for a, b, c in zip(run_of[hit].tolist(), where[hit].tolist(), late[hit].tolist())}
-        rows = np.flatnonzero(twin)
-        extra = [(doc[r], key[r], start[r] + o, 1) for r in rows.tolist() for o in range(n[r]) if flags.get((at[which[r]], start[at[which[r]]] + o))]
-        if extra:
-            e = np.array(extra, np.int64)
-            d, k, s, m = (np.concatenate([x, e[:, i]]) for i, x in enumerate((d, k, s, m)))
-    return np.concatenate([doc[copy], d]), np.concatenate([key[copy], k]), np.concatenate([start[copy], s]), np.concatenate([n[copy], m])
+    group = _groups(text, first, n[at], width)
+    run = np.repeat(at, n[at])
+    where = repeats.expand(start[at], n[at])
+    late = repeats.later((group,), repeats._ranks(doc[run], key[run], where))
+    found = repeats.window_runs(run, doc[run], key[run], where, late)
+    return tuple(np.concatenate(x) for x in zip(copies, found))
 
 
 def _resolve(width: int):
     def run(batches):
         for t in textbuf.whole_groups(batches, "anchor", SHARD_BYTES):
-            anchor, doc, key, start, n = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "row_key", "start", "n"))
-            open_ = t.column("data").is_valid().to_numpy()
-            done = ~open_
-            yield repeats.removed_rows(doc[done], key[done], start[done], n[done])
-            if open_.any():
-                blobs = t.column("data").drop_null().to_pylist()
-                yield repeats.removed_rows(*_shard(anchor[open_], doc[open_], key[open_], start[open_], n[open_], blobs, width))
+            yield repeats.settled_rows(t)
+            t = t.filter(t.column("data").is_valid())
+            if t.num_rows:
+                anchor, doc, key, start, n = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "row_key", "start", "n"))
+                yield repeats.removed_runs(*_shard(anchor, doc, key, start, n, t.column("data").to_pylist(), width))
 
     return run
 

@@ -229,8 +229,12 @@ def lists(per_row: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), values)
 
 
-def whole_groups(batches, column: str, max_bytes: int = 8_000_000):
-    """Re-cut batches sorted by an integer column so that no group is divided."""
+def group_chunks(batches, column: str, max_bytes: int = 8_000_000):
+    """Re-cut batches sorted by an integer column: (table, unfinished group).
+
+    A table holds whole groups, with None, or a part of the one group named,
+    which exceeds ``max_bytes``; its next rows, if any, follow at once.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
@@ -244,11 +248,34 @@ def whole_groups(batches, column: str, max_bytes: int = 8_000_000):
         values = table.column(column).to_numpy()
         cut = int(np.searchsorted(values, values[-1]))
         if cut:
-            yield table.slice(0, cut).combine_chunks()
-        held = table.slice(cut).combine_chunks().to_batches()
-        size = sum(x.nbytes for x in held) if cut else 0
+            yield table.slice(0, cut).combine_chunks(), None
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held)
+        else:
+            yield table.combine_chunks(), int(values[-1])
+            held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks(), None
+
+
+def whole_groups(batches, column: str, max_bytes: int = 8_000_000):
+    """Re-cut batches sorted by an integer column so that no group is divided."""
+    parts: list[pa.Table] = []
+    for table, unfinished in group_chunks(batches, column, max_bytes):
+        if parts:
+            values, open_ = table.column(column).to_numpy(), parts[-1].column(column)[-1].as_py()
+            cut = int(np.searchsorted(values, open_, "right"))
+            parts.append(table.slice(0, cut))
+            if unfinished == open_:
+                continue
+            yield pa.concat_tables(parts).combine_chunks()
+            parts, table = [], table.slice(cut)
+        if unfinished is not None:
+            parts = [table]
+        elif table.num_rows:
+            yield table.combine_chunks()
+    if parts:
+        yield pa.concat_tables(parts).combine_chunks()
 
 
 def group_bounds(values: np.ndarray) -> list[tuple[int, int]]:
