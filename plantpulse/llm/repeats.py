@@ -41,7 +41,7 @@ from plantpulse.llm import scratch, textbuf
 
 U64 = np.uint64
 #: Cells of one segment of a sketch row.
-SEGMENT_BITS = 20
+SEGMENT_BITS = 18
 CANDIDATES = "anchor long, doc_id long, row_key long, start int, n int, data binary, runs binary"
 _COLUMNS = [c.split()[0] for c in CANDIDATES.split(", ")]
 REMOVED = "doc_id long, row_key long, runs binary"
