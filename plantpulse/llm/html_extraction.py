@@ -18,19 +18,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.llm import labelled_pages, textbuf
-from plantpulse.llm.html_blocks import Block, blocks
+from plantpulse.llm.html_blocks import Block, Element, blocks
 
 #: Labelled pages to fit on.
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 
 
-@lru_cache(8192)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    found = {f"in={tag}" for tag, _ in path} | {f"word={w}" for _, words in path for w in words}
-    for tag, words in path[-1:]:
-        found.add(f"own={tag}")
-    found.add(f"depth={min(len(path), 8)}")
-    return tuple(sorted(found))
+def _seen(e: Element | None, known) -> frozenset:
+    """``in=`` and ``word=`` features of an element and its ancestors.
+
+    Only those ``known``, where that is given, so that a set's size is bounded
+    by the model's.  Elements that add nothing share their parent's set.
+    """
+    chain = []
+    while e and e.known is None:
+        chain.append(e)
+        e = e.parent
+    seen = e.known if e else frozenset()
+    for e in reversed(chain):
+        own = [f"in={e.tag}", *(f"word={w}" for w in e.words)]
+        new = [f for f in own if f not in seen and (known is None or f in known)]
+        e.known = seen = seen.union(new) if new else seen
+    return seen
+
+
+def _path_features(e: Element | None, known=None) -> tuple[str, ...]:
+    if e is None:
+        return ("depth=0",)
+    if e.features is None:
+        near = [(place, e) for place, e in (("near", e.named), ("next", e.named and e.named.parent and e.named.parent.named)) if e]
+        e.features = (*sorted(_seen(e, known)), *sorted({f"{place}={w}" for place, x in near for w in x.words}), f"own={e.tag}", f"depth={min(e.depth, 8)}")
+    return e.features
 
 
 def _text_features(b: Block) -> tuple[str, ...]:
@@ -42,8 +60,9 @@ def _text_features(b: Block) -> tuple[str, ...]:
     )
 
 
-def features(page: list[Block]) -> list[tuple[str, ...]]:
-    return [_path_features(b.path) + _text_features(b) for b in page]
+def features(page: list[Block], known=None) -> list[tuple[str, ...]]:
+    """Features of each block; of its ancestors only those ``known``, if given."""
+    return [_path_features(b.element, known) + _text_features(b) for b in page]
 
 
 @dataclass(frozen=True)
@@ -101,11 +120,18 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[list[tuple[str, ...]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.3, penalty: float = 1e-3) -> Model:
-    """Fit by gradient ascent on the conditional likelihood."""
-    kept = [i for i, p in enumerate(pages) if p]
-    pages, labels = [pages[i] for i in kept], [labels[i] for i in kept]
-    index = {f: i for i, f in enumerate(sorted({f for p in pages for b in p for f in b}))}
+@dataclass(frozen=True)
+class _Examples:
+    """Labelled pages as arrays: block features, truth, lengths, label pairs."""
+
+    x: np.ndarray
+    truth: np.ndarray
+    lengths: np.ndarray
+    starts: np.ndarray
+    pairs: np.ndarray
+
+
+def _examples(pages, labels, index) -> _Examples:
     x = np.zeros((sum(map(len, pages)), len(index)), np.float32)
     for row, b in enumerate(b for p in pages for b in p):
         x[row, [index[f] for f in b]] = 1
@@ -118,25 +144,44 @@ def train(pages: list[list[tuple[str, ...]]], labels: list[list[int]], rounds: i
     inner[starts] = False
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
+    return _Examples(x, truth, lengths, starts, pairs)
+
+
+def objective(params, data: _Examples, penalty: float) -> tuple[float, list[np.ndarray]]:
+    """Penalised log likelihood of the labels, and its slopes, by forward-backward sums."""
+    weights, trans, first = params
+    scores = data.x @ weights
+    e, mask = _padded(scores, data.lengths)
+    lanes, steps = mask.shape
+    ahead, behind = np.zeros((steps, lanes, 2)), np.zeros((steps, lanes, 2))
+    ahead[0] = e[:, 0] + first
+    for t in range(1, steps):
+        ahead[t] = np.where(mask[:, t, None], _log_sum(ahead[t - 1][:, :, None] + trans, 1) + e[:, t], ahead[t - 1])
+    total = _log_sum(ahead[-1], 1)
+    expected = np.zeros((2, 2))
+    for t in range(steps - 1, 0, -1):
+        on = mask[:, t]
+        joint = ahead[t - 1][:, :, None] + trans + (e[:, t] + behind[t])[:, None, :] - total[:, None, None]
+        expected += np.exp(joint[on]).sum(0)
+        behind[t - 1] = np.where(on[:, None], _log_sum(trans + (e[:, t] + behind[t])[:, None, :], 2), behind[t])
+    share = np.exp(ahead + behind - total[None, :, None]).transpose(1, 0, 2)[mask]
+    n = len(data.truth)
+    value = (data.truth * scores).sum() + (data.pairs * trans).sum() + (data.truth[data.starts] * first).sum() - total.sum()
+    value -= penalty / 2 * (n * (weights**2).sum() + (trans**2).sum())
+    slopes = [data.x.T @ (data.truth - share) - penalty * n * weights, data.pairs - expected - penalty * trans, (data.truth - share)[data.starts].sum(0)]
+    return float(value), slopes
+
+
+def train(pages: list[list[tuple[str, ...]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.3, penalty: float = 1e-3) -> Model:
+    """Fit by gradient ascent on the conditional likelihood."""
+    kept = [i for i, p in enumerate(pages) if p]
+    pages, labels = [pages[i] for i in kept], [labels[i] for i in kept]
+    index = {f: i for i, f in enumerate(sorted({f for p in pages for b in p for f in b}))}
+    data = _examples(pages, labels, index)
     params = [np.zeros((len(index), 2)), np.zeros((2, 2)), np.zeros(2)]
     seen = [np.full_like(p, 1e-8) for p in params]
     for _ in range(rounds):
-        weights, trans, first = params
-        e, mask = _padded(x @ weights, lengths)
-        lanes, steps = mask.shape
-        ahead, behind = np.zeros((steps, lanes, 2)), np.zeros((steps, lanes, 2))
-        ahead[0] = e[:, 0] + first
-        for t in range(1, steps):
-            ahead[t] = np.where(mask[:, t, None], _log_sum(ahead[t - 1][:, :, None] + trans, 1) + e[:, t], ahead[t - 1])
-        total = _log_sum(ahead[-1], 1)
-        expected = np.zeros((2, 2))
-        for t in range(steps - 1, 0, -1):
-            on = mask[:, t]
-            joint = ahead[t - 1][:, :, None] + trans + (e[:, t] + behind[t])[:, None, :] - total[:, None, None]
-            expected += np.exp(joint[on]).sum(0)
-            behind[t - 1] = np.where(on[:, None], _log_sum(trans + (e[:, t] + behind[t])[:, None, :], 2), behind[t])
-        share = np.exp(ahead + behind - total[None, :, None]).transpose(1, 0, 2)[mask]
-        slopes = [x.T @ (truth - share) - penalty * len(y) * weights, pairs - expected - penalty * trans, (truth - share)[starts].sum(0)]
+        _, slopes = objective(params, data, penalty)
         for p, g, s in zip(params, slopes, seen):  # AdaGrad
             s += g * g
             p += rate * g / np.sqrt(s)
@@ -154,7 +199,7 @@ def default_model(n: int = TRAINING_PAGES) -> Model:
 
 def main_texts(htmls: list[str], model: Model) -> list[str]:
     pages = [blocks(h) for h in htmls]
-    labels = model.viterbi(model.emissions([features(p) for p in pages]), np.array([len(p) for p in pages])).tolist()
+    labels = model.viterbi(model.emissions([features(p, model.index) for p in pages]), np.array([len(p) for p in pages])).tolist()
     out, at = [], 0
     for p in pages:
         out.append(" ".join(b.text for b, label in zip(p, labels[at : at + len(p)]) if label))
@@ -166,6 +211,7 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
     """page_id, url, text, n_chars of every row.
 
     Null or empty html, and pages without an article, give an empty text.
+    Pages of any length and depth are read whole, in linear time.
     One row per input row, whatever its id or url; other columns are ignored;
     an empty table gives an empty result.
     """
