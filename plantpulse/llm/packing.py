@@ -142,31 +142,39 @@ def mutate(bins, lengths, capacity, rng):
     return child
 
 
-def evolve(lengths: list[int], capacity: int, seeds: list, rng, generations: int = GENERATIONS):
+def evolve(lengths: list[int], capacity: int, seeds: list, rng, generations: int = GENERATIONS, least: int = 1):
     """The best packing after some generations from seeds, best fit and noise.
 
-    Stops as soon as a packing has as few bins as the total length allows.
+    After ``least`` generations it stops as soon as a packing has as few bins
+    as the total length allows: no crossover could save another.  Equal
+    numbers of bins are told apart by how much room is in one place.
     """
     bound = -(-sum(lengths) // capacity)
     score = lambda b: fitness(b, lengths, capacity)
     first: list[list[int]] = []
     best_fit(lengths, range(len(lengths)), first, [], capacity)
     people = [*seeds, first]
-    best = max(people, key=score)
-    if len(best) <= bound:
-        return best
-    while len(people) < POPULATION:
+    if not first:
+        return first
+    while len(people) < 2:
         people.append(mutate(first, lengths, capacity, rng))
-    for _ in range(generations):
-        people.sort(key=score, reverse=True)
-        a, b = rng.permutation(len(people))[:2]
-        child = crossover(people[min(a, b)], people[max(a, b)], lengths, capacity, rng)
+    scores = [score(b) for b in people]
+    for g in range(generations):
+        if g >= least:
+            if -max(scores)[0] <= bound:
+                break
+            while len(people) < POPULATION:
+                people.append(mutate(first, lengths, capacity, rng))
+                scores.append(score(people[-1]))
+        ranked = sorted(range(len(people)), key=scores.__getitem__, reverse=True)
+        a, b = (ranked[i] for i in sorted(rng.permutation(len(people))[:2].tolist()))
+        child = crossover(people[a], people[b], lengths, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, lengths, capacity, rng)
-        people[-1] = max(people[-1], child, key=score)
-        if -score(child)[0] <= bound:
-            break
-    return max(people, key=score)
+        own, worst = score(child), ranked[-1]
+        if own > scores[worst]:
+            people[worst], scores[worst] = child, own
+    return people[max(range(len(people)), key=scores.__getitem__)]
 
 
 # ---- pools, islands and epochs as rows -----------------------------------
@@ -264,7 +272,9 @@ def pack(parts: DataFrame, capacity: int = 4096, levels: int = 2, open_below: fl
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Rows that repeat an id are packed like any others; rows equal in id and
+    A null or empty text is one piece, its end token; an empty table gives an
+    empty result; texts of any length are encoded whole and cut into pieces of
+    ``capacity``.  Rows that repeat an id are packed like any others; rows equal in id and
     text share a key and are told apart by a number.  Rows without an id are
     packed too.  Other columns are ignored.
     """
