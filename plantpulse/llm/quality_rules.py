@@ -38,6 +38,9 @@ class LineLimits:
     max_repeat_percent: int = 50
 
 
+#: Copies of each frequent line in the join with the texts' lines.
+COPIES = 8
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 STATS = "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
@@ -174,11 +177,13 @@ def _removed_words(docs, limits, id_col, text_col, host_col) -> tuple[DataFrame,
     # Equal texts of a host get one verdict, so their lines are joined once.
     texts = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
     lines = texts.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_key", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
-    removed = lines.join(frequent.select("host", "line"), ["host", "line"], "left_semi").groupBy("host", "text_key").agg(F.sum("w").cast("long").alias("n_removed_words"), F.collect_list("line").alias("removed_lines"))
+    # A line of very many texts is one key: texts are dealt over several copies of it.
+    copies = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("dealt"))
+    removed = lines.withColumn("dealt", F.pmod("text_key", F.lit(COPIES)).cast("int")).join(copies, ["host", "line", "dealt"], "left_semi").groupBy("host", "text_key").agg(F.sum("w").cast("long").alias("n_removed_words"), F.collect_list("line").alias("removed_lines"))
     return stats, removed
 
 
-def _filter_rows(limits: LineLimits, text_col: str, host_col: str):
+def _filter_rows(limits: LineLimits, text_col: str, key_name: str):
     """Rows that pass the base rules, with their text's key."""
 
     def run(batches):
@@ -188,17 +193,17 @@ def _filter_rows(limits: LineLimits, text_col: str, host_col: str):
             parts = list(_stats([source]))
             words, repeats, keys = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("n_words", "n_repeat_words", "text_key"))
             passed = (words >= limits.min_words) & (100 * repeats <= limits.max_repeat_percent * words)
-            yield b.append_column("__text_key", pa.array(keys)).filter(pa.array(passed))
+            yield b.append_column(key_name, pa.array(keys)).filter(pa.array(passed))
 
     return run
 
 
-def _cut_lines(text_col: str, chars_col: str, names: list[str]):
-    """Cut each text's lines whose hashes are in ``__lines``."""
+def _cut_lines(text_col: str, chars_col: str, lines_name: str, names: list[str]):
+    """Cut each text's lines whose hashes are in the column ``lines_name``."""
 
     def run(batches):
         for b in textbuf.slices(batches, text_col):
-            lists = b.column("__lines")
+            lists = b.column(lines_name)
             hit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
             columns = {c: b.column(c) for c in names}
             if len(hit):
@@ -233,13 +238,17 @@ def passing(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "d
     A removed line goes with the newline after it; all else of a text stays,
     and a character count is brought up to date.  Base rules need no other
     document and are applied where a row is read; texts then meet the hashes
-    of their frequent lines.
+    of their frequent lines.  Null and empty texts have no words and go; rows
+    without an id or host are judged like others; equal rows are judged alike.
+    Texts of any length are read whole, columns of any name are handed on, and
+    an empty table stays empty.
     """
     stats, removed = _removed_words(docs, limits, id_col, text_col, host_col)
     sizes = stats.filter(~_base_failed(limits)).select("host", "text_key", "n_words").distinct()
     left = F.col("n_words") - F.col("n_removed_words")
-    judged = removed.join(sizes, ["host", "text_key"]).select(F.col("host").alias("__host"), F.col("text_key").alias("__key"), F.col("removed_lines").alias("__lines"), (left < limits.min_left * F.col("n_words")).alias("__depleted"))
+    text_key, host, key, lines, depleted = scratch.fresh(docs, "text_key", "host", "key", "lines", "depleted")
+    judged = removed.join(sizes, ["host", "text_key"]).select(F.col("host").alias(host), F.col("text_key").alias(key), F.col("removed_lines").alias(lines), (left < limits.min_left * F.col("n_words")).alias(depleted))
     judged = scratch.stored(judged, scratch.root(docs.sparkSession) + "/judged")
-    kept = docs.mapInArrow(_filter_rows(limits, text_col, host_col), T.StructType([*docs.schema.fields, T.StructField("__text_key", T.LongType())]))
-    met = kept.join(judged, (_host(host_col) == F.col("__host")) & (F.col("__text_key") == F.col("__key")), "left").filter(~F.coalesce("__depleted", F.lit(False)))
-    return met.select(*docs.columns, "__lines").mapInArrow(_cut_lines(text_col, chars_col, docs.columns), docs.schema)
+    kept = docs.mapInArrow(_filter_rows(limits, text_col, text_key), T.StructType([*docs.schema.fields, T.StructField(text_key, T.LongType())]))
+    met = kept.join(judged, (_host(host_col) == F.col(host)) & (F.col(text_key) == F.col(key)), "left").filter(~F.coalesce(F.col(depleted), F.lit(False)))
+    return met.select(*docs.columns, lines).mapInArrow(_cut_lines(text_col, chars_col, lines, docs.columns), docs.schema)
