@@ -433,7 +433,7 @@ def _with_ids(classes: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("second"), above).otherwise(F.col("own")).alias("id"), "own", "second", _text_key("own", "first.row_key").alias("text_key"), "n_shingles", "fp1", "fp2", "signature")
 
 
-def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents link if their sets' similarity is ``percent`` % or more; a
@@ -448,7 +448,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     return _judged(docs, percent, id_col, text_col).drop("row_key")
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns.
 
     Of rows equal in id and text all stay or none; null and empty texts stay,

@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from plantpulse.llm import scratch, textbuf
 
 U64 = np.uint64
+#: Runs from which an anchor is hot.
+HOT = 50_000
 #: Cells of one segment of a sketch row.
 SEGMENT_BITS = 18
 CANDIDATES = "anchor long, doc_id long, row_key long, start int, n int, data binary, runs binary"
@@ -57,7 +59,7 @@ class Windows:
     gram: int
     of_bytes: bool
     max_cells: int = 1 << 31
-    hot: int = 50_000
+    hot: int = HOT
     parts: int = 8
 
 

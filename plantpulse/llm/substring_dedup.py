@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.llm import repeats, scratch, textbuf
+from plantpulse.llm.repeats import HOT
 
 
 def _resolve(batches):
@@ -77,12 +78,12 @@ def _apply(width: int):
     return run
 
 
-def _windows(width: int, gram: int) -> repeats.Windows:
+def _windows(width: int, gram: int, hot: int) -> repeats.Windows:
     """A hot anchor's runs are divided into single windows: they send hashes only."""
-    return repeats.Windows(width, gram, False, parts=width)
+    return repeats.Windows(width, gram, False, hot=hot, parts=width)
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 8, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, row_key, n_words, n_removed, kept_text.
 
     ``kept_text`` is the kept words joined by one space.  A null or empty text
@@ -90,20 +91,22 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     lose nothing and remove nothing.  Rows equal in id and text stand at one
     place and don't remove each other; rows with one id and different texts
     are ordered by their text's hash (``row_key``).  An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored.  Texts of any length are read
+    whole.  Anchors of ``hot`` runs or more are divided; results don't depend
+    on it.
     """
     rows = repeats.identified(docs, id_col, text_col)
-    joined = repeats.with_removed(rows, repeated_windows(rows, _windows(width, gram)))
+    joined = repeats.with_removed(rows, repeated_windows(rows, _windows(width, gram, hot)))
     return joined.mapInArrow(_apply(width), "doc_id long, row_key long, n_words long, n_removed long, kept_text string")
 
 
-def _cut(width: int, text_col: str, names: list[str]):
+def _cut(width: int, text_col: str, runs_name: str, names: list[str]):
     def run(batches):
         for b in textbuf.slices(batches, text_col):
             buf, offs = textbuf.flat(b.column(text_col))
             ws, we = textbuf.words(buf, offs)
             per = textbuf.counts(ws, offs)
-            gone = np.flatnonzero(repeats.covered(b, per, width, "__runs"))
+            gone = np.flatnonzero(repeats.covered(b, per, width, runs_name))
             # a removed word goes with the white space before it
             doc = np.searchsorted(offs, ws, "right") - 1
             before = np.concatenate([[0], we[:-1]]) if len(we) else we
@@ -114,7 +117,7 @@ def _cut(width: int, text_col: str, names: list[str]):
             keep = np.cumsum(mark)[:-1] == 0
             at = np.concatenate([[0], np.cumsum(textbuf.sums(keep, offs))]).tolist()
             raw = buf[keep].tobytes()
-            hit = b.column("__runs").is_valid().to_pylist()
+            hit = b.column(runs_name).is_valid().to_pylist()
             old = b.column(text_col).to_pylist()
             texts = [raw[i:j].decode().strip(" \t\n\v\f\r") if h else t for h, i, j, t in zip(hit, at[:-1], at[1:], old)]
             yield pa.record_batch([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
@@ -122,17 +125,20 @@ def _cut(width: int, text_col: str, names: list[str]):
     return run
 
 
-def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with repeated windows cut out of the text, all columns kept.
 
     White space between kept words stays; a character count is brought up to
-    date.  Texts that lose nothing are unchanged, nulls stay null.
+    date.  Texts that lose nothing are unchanged, nulls stay null.  Rows
+    without an id lose nothing; rows equal in id and text lose the same.
+    Texts of any length are read whole, columns of any name are handed on, and
+    an empty table stays empty.
     """
-    removed = repeated_windows(repeats.identified(docs, id_col, text_col), _windows(width, gram))
-    per_doc = removed.groupBy(F.col("doc_id").alias("__doc_id"), F.col("row_key").alias("__row_key")).agg(F.collect_list("runs").alias("__runs"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))})
-    joined = keyed.join(per_doc, (F.col("__id") == F.col("__doc_id")) & (F.col("__key") == F.col("__row_key")), "left").select(*docs.columns, "__runs")
-    out = joined.mapInArrow(_cut(width, text_col, docs.columns), docs.schema)
+    removed = repeated_windows(repeats.identified(docs, id_col, text_col), _windows(width, gram, hot))
+    doc_id, key, runs = scratch.fresh(docs, "removed_id", "removed_key", "runs")
+    per_doc = removed.groupBy(F.col("doc_id").alias(doc_id), F.col("row_key").alias(key)).agg(F.collect_list("runs").alias(runs))
+    met = (F.col(id_col).cast("long") == F.col(doc_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(key))
+    out = docs.join(per_doc, met, "left").select(*docs.columns, runs).mapInArrow(_cut(width, text_col, runs, docs.columns), docs.schema)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out

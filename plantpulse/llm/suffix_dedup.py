@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plantpulse.llm import repeats, scratch, textbuf
+from plantpulse.llm.repeats import HOT
 from plantpulse.llm.suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of snippets in one suffix array; a shard of more takes several turns.
@@ -115,17 +116,19 @@ def _apply(width: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 16, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, row_key, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
     A null text is empty; texts under ``width`` bytes lose nothing.  Rows
     without an id lose nothing and remove nothing.  Rows equal in id and text
     stand at one place and don't remove each other; rows with one id and
     different texts are ordered by their text's hash (``row_key``).  An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored.  Texts of any
+    length are read whole.  Anchors of ``hot`` runs or more are divided;
+    results don't depend on it.
     """
     rows = repeats.identified(docs, id_col, text_col)
-    joined = repeats.with_removed(rows, repeated_strings(rows, repeats.Windows(width, gram, True)))
+    joined = repeats.with_removed(rows, repeated_strings(rows, repeats.Windows(width, gram, True, hot=hot)))
     return joined.mapInArrow(_apply(width), "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 

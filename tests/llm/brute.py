@@ -30,7 +30,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near(rows):
+def near(rows, percent=80):
     """rows: distinct (doc_id, text); {doc_id: (n_shingles, component, kept)}."""
     sets = {d: shingles(t) for d, t in rows}
     parent = {d: d for d in sets}
@@ -47,7 +47,7 @@ def near(rows):
     pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
     for a, b in pairs:
         common = len(sets[a] & sets[b])
-        if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
@@ -81,3 +81,13 @@ def byte_strings(rows, k=100):
         spans = len([x for x in bytes(gone).split(b"\0") if x])
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return out
+
+
+def viterbi(scores, transitions, first):
+    """The best labels of one page by trying all."""
+    import itertools
+
+    def value(labels):
+        return first[labels[0]] + sum(e[x] for e, x in zip(scores, labels)) + sum(transitions[a][b] for a, b in zip(labels, labels[1:]))
+
+    return max(itertools.product(range(2), repeat=len(scores)), key=value)

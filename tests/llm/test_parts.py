@@ -1,7 +1,10 @@
 import os
 import random
+import time
 
+import brute
 import numpy as np
+import other_pages
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -114,6 +117,70 @@ def test_genetic_packing_beats_or_equals_best_fit():
         assert sorted(i for b in child for i in b) == list(range(120))
 
 
+def test_genetic_packing_crosses_even_where_best_fit_is_enough(monkeypatch):
+    calls = []
+    crossing = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *x: calls.append(1) or crossing(*x))
+    packing.evolve([50] * 20, 100, [], np.random.default_rng(0))
+    assert len(calls) == 1
+    packing.evolve([60] * 20, 100, [], np.random.default_rng(0), generations=5)
+    assert len(calls) == 6
+    assert packing.evolve([], 100, [], np.random.default_rng(0)) == []
+
+
+def test_viterbi_equals_trying_all_labels():
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 4, 0, 7, 2])
+    for _ in range(20):
+        model = html_extraction.Model({}, np.zeros((0, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+        scores = rng.normal(size=(int(lengths.sum()), 2))
+        at, want = 0, []
+        for n in lengths.tolist():
+            if n:
+                want += brute.viterbi(scores[at : at + n].tolist(), model.transitions.tolist(), model.first.tolist())
+            at += n
+        assert model.viterbi(scores, lengths).tolist() == want
+
+
+def test_slopes_equal_differences():
+    rng = np.random.default_rng(9)
+    pages = [[tuple(f"f{i}" for i in np.flatnonzero(rng.random(5) < 0.5)) for _ in range(n)] for n in (1, 3, 5)]
+    index = {f"f{i}": i for i in range(5)}
+    data = html_extraction._examples(pages, [rng.integers(0, 2, len(p)).tolist() for p in pages], index)
+    params = [rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+    _, slopes = html_extraction.objective(params, data, 0.01)
+    for p, slope in zip(params, slopes):
+        for at in np.ndindex(p.shape):
+            values = []
+            for step in (1e-5, -2e-5):
+                p[at] += step
+                values.append(html_extraction.objective(params, data, 0.01)[0])
+            p[at] += 1e-5
+            assert abs((values[0] - values[1]) / 2e-5 - slope[at]) < 1e-4
+
+
+def test_long_and_deep_pages_take_linear_time():
+    model = html_extraction.default_model(100)
+    for piece in ("<div>x ", '<a "x ', "<p class='", "<b class=w{}>x", "<i>", "</section>x<section>", "<!-- ", "<td><ul>"):
+        pages = ["".join(piece.format(i) for i in range(n)) for n in (10_000, 40_000)]
+        took = []
+        for page in pages:
+            began = time.perf_counter()
+            html_extraction.main_texts([page], model)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 1, piece
+
+
+def test_main_text_of_pages_from_elsewhere():
+    model = html_extraction.default_model()
+    right = total = 0
+    for html, want in other_pages.PAGES:
+        got = html_extraction.main_texts([html], model)[0]
+        for b in blocks(html):
+            right, total = right + ((b.text in got) == (b.text in want)), total + 1
+    assert right / total > 0.9
+
+
 def test_labels_of_unseen_layouts():
     model = html_extraction.default_model(200)
     right = total = 0

@@ -24,3 +24,23 @@ def test_stages_take_effect_in_turn(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_of_odd_rows(spark, odd, sf):
+    """Columns named like the stages' own, nulls, repeated rows and ids."""
+    names = "text_key host key lines depleted gone_id gone_key removed_id removed_key runs line dealt row_key"
+    docs = odd.selectExpr("*", *[f"'{n}' AS {n}" for n in names.split()]).filter("text is null or length(text) > 0")
+    (_, first), (_, second), (_, third), (_, last) = corpus_pipeline.STAGES
+    one = first(spark, docs, sf)
+    assert one.columns == docs.columns and sorted((r.doc_id or 0, r.host) for r in one.collect()) == [(0, "host"), (1, "host"), (1, "host"), (2, "host")]
+    two = second(spark, docs, sf)
+    assert two.columns == docs.columns
+    # equal rows stay together; of the texts of id 2 one has gone
+    assert sorted((r.doc_id or 0, r.text is None or len(r.text)) for r in two.collect()) == [(0, True), (0, 229), (1, 229), (1, 229), (2, 10), (3, True)]
+    three = third(spark, docs, sf)
+    assert three.columns == docs.columns and three.count() == 7
+    assert sorted((r.doc_id, len(r.text)) for r in three.collect() if r.doc_id and r.text is not None) == [(1, 229), (1, 229), (2, 0), (2, 10)]
+    assert sorted((r.doc_id or 0, r.piece) for r in last(spark, docs, sf).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (2, 0), (3, 0)]
+    empty = docs.limit(0)
+    for stage in (first, second, third, last):
+        assert stage(spark, empty, sf).count() == 0
