@@ -14,25 +14,40 @@ from plantpulse.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough of their lines."""
+    """Documents that pass the base rules and keep enough of their lines.
+
+    Lines above the limits are cut out of the others.  See
+    ``quality_rules.passing`` for nulls, repeated rows and empty tables.
+    """
     ship_package(spark)
     return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five words, similarity 0.8.
+
+    Null and wordless texts and rows without an id stay; see
+    ``near_dedup.without_near_duplicates``.
+    """
     ship_package(spark)
-    return near_dedup.without_near_duplicates(docs)
+    return near_dedup.without_near_duplicates(docs, percent=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 20-word windows that an earlier place has."""
+    """Documents without the 20-word windows that an earlier place has.
+
+    No row goes, even where all its words do; see
+    ``substring_dedup.without_repeats``.
+    """
     ship_package(spark)
     return substring_dedup.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 4096 tokens."""
+    """Pieces of all documents, packed into sequences of 4096 tokens.
+
+    A null text is packed as its end token; see ``packing.pack_documents``.
+    """
     ship_package(spark)
     return packing.pack_documents(docs, entries.tokenizer_file("word_bpe_49k.json"))
 
