@@ -1,4 +1,8 @@
-"""Rule constants, as frozen values that every operator takes as an argument."""
+"""Rule constants, as frozen values that every operator takes as an argument.
+
+Tags, limits, thresholds, points, rule and family names, priorities,
+confidences, titles and descriptions are fixed values: results must match.
+"""
 
 from __future__ import annotations
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from plantpulse import schemas
 from plantpulse.config import COOLDOWN_HOURS, FAMILIES, GENERAL_FAMILY, KNOWN_MODES, RULES
 from plantpulse.functions.columns import band
 from plantpulse.sources.sinks import latest_per_key
@@ -56,6 +58,17 @@ def recommend(risk: DataFrame) -> DataFrame:
     )
 
 
+def write_evidence(recs: DataFrame) -> DataFrame:
+    """Recommendations with their evidence and its notes as ``evidence_json`` text."""
+    return recs.withColumn("evidence_json", F.to_json("evidence")).drop("evidence")
+
+
+def read_evidence(recs: DataFrame) -> DataFrame:
+    """The typed ``evidence`` of stored text; text that is no JSON gives null."""
+    kind = StructType.fromDDL(schemas.RECOMMENDATIONS)["evidence"].dataType
+    return recs.withColumn("evidence", F.when(F.try_parse_json("evidence_json").isNotNull(), F.from_json("evidence_json", kind))).drop("evidence_json")
+
+
 def recommendation_id(asset: str = "asset_id", rec_type: str = "rec_type", as_of: str = "as_of_minute_ts", state: str = "state_fingerprint") -> Column:
     """A stable identity: the same state of the same minute has the same one."""
     return F.xxhash64(asset, rec_type, F.unix_micros(as_of), state)

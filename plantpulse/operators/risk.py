@@ -100,6 +100,15 @@ def decay_risk(anomalies: DataFrame, options: RiskOptions = RiskOptions(), minut
     )
 
 
+#: What ``decay_risk`` writes as evidence.
+EVIDENCE = "windowMinutes int, driverCounts map<string,int>, contributions array<struct<anomalyType:string,severity:int,minute:bigint,basePoints:int,decay:double>>"
+
+
+def read_evidence(risk: DataFrame) -> DataFrame:
+    """Risk rows with ``evidence``, the typed reading of ``evidence_json``; null where it is none."""
+    return risk.withColumn("evidence", F.when(F.try_parse_json("evidence_json").isNotNull(), F.from_json("evidence_json", EVIDENCE)))
+
+
 def current_risk(risk: DataFrame) -> DataFrame:
     """The newest row of each asset, as a table of current states."""
     return newest(risk.withColumnRenamed("minute_ts", "as_of_minute_ts"), ["asset_id"], "as_of_minute_ts")

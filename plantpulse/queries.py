@@ -19,13 +19,13 @@ from plantpulse.operators import detect, facts, features, recommend, risk
 from plantpulse.plans import serving
 from plantpulse.session import scratch_folder, ship_package
 from plantpulse.sources import sinks, telemetry
-from plantpulse.streaming import jobs
+from plantpulse.streaming import analytics, jobs
 
 #: Events in a minute from which it counts; the test tables are thin.
 MIN_EVENTS = 1
-START, END = "2024-01-01 02:00:00", "2024-01-01 08:00:00"
+START, END = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
 ASSET = "PUMP_001"
-SHOWN = ["COMP_001", "PUMP_001", "PUMP_002"]
+SHOWN = list(telemetry.ASSETS)
 
 #: Lifts exact ties of the 7th place over the edge, where engines' last bits differ.
 NUDGE = 1e-9
@@ -74,7 +74,10 @@ class Plant:
     def recs(self):
         """A recommendation for each risk minute that calls for one; the
         minute's number decides its status."""
-        made = recommend.recommend(self.decay.withColumnRenamed("minute_ts", "as_of_minute_ts"))
+        return self.made(self.decay)
+
+    def made(self, scored: DataFrame) -> DataFrame:
+        made = recommend.recommend(scored.withColumnRenamed("minute_ts", "as_of_minute_ts"))
         n = F.unix_seconds("as_of_minute_ts") / 60 % 3
         none = F.lit(None)
         extra = {
@@ -83,6 +86,15 @@ class Plant:
         }
         return made.withColumns(extra)
 
+    def stored(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Anomalies, risk and recommendations as tables, each computed once: what serving reads."""
+        path, out = scratch_folder(self.spark), []
+        for make in (lambda: self.hybrid, lambda: risk.decay_risk(out[0]), lambda: self.made(out[1])):
+            df = make()
+            df.write.parquet(f"{path}/{len(out)}")
+            out.append(self.spark.read.schema(df.schema).parquet(f"{path}/{len(out)}"))
+        return tuple(out)
+
 
 def _shown(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Times as text, doubles rounded, counts as bigint."""
@@ -282,9 +294,67 @@ def anomaly_minutes(p: Plant) -> DataFrame:
     return _shown(p.hybrid.groupBy("asset_id", "minute_ts").agg(F.count("*").alias("n")))
 
 
+def _reason_sql(limit) -> str:
+    # three places, halves up in the shortest decimal form, as the JVM formats doubles
+    shown = f"CAST(CAST(round(CAST(CAST({limit.column} AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DECIMAL(18, 3)) AS VARCHAR)"
+    word = "below" if limit.below else "exceeds"
+    return f"SELECT asset_id, minute_ts, '{limit.anomaly_type}' AS anomaly_type, '{limit.tag}=' || {shown} || CASE {_limit_sql(limit)} WHEN 2 THEN ' {word} critical {limit.crit}' ELSE ' {word} warning {limit.warn}' END AS reason FROM fact WHERE {_limit_sql(limit)} IS NOT NULL"
+
+
+@_query(f"SELECT asset_id, {_ts()}, anomaly_type, reason FROM ({' UNION ALL '.join(map(_reason_sql, LIMITS))})")
+def anomaly_reasons(p: Plant) -> DataFrame:
+    return _shown(p.limits, ["asset_id", "minute_ts", "anomaly_type", "reason"])
+
+
+@_query(f"SELECT asset_id, {_ts('m', 'minute_ts')}, fault_code_max FROM (SELECT asset_id, date_trunc('minute', ts) AS m, max(CASE WHEN kafka_offset % 10 = 0 THEN kafka_offset % 7 END) AS fault_code_max FROM good GROUP BY ALL)")
+def fault_codes(p: Plant) -> DataFrame:
+    """The highest fault code of each minute; every tenth event also reports one."""
+    code = (F.col("kafka_offset") % 7).cast("double") + 0.5
+    reports = p.good.filter("kafka_offset % 10 = 0").withColumns({"tag": F.lit("fault_code"), "value": code})
+    return _shown(facts.minute_facts(p.good.unionByName(reports)), ["asset_id", "minute_ts", "fault_code_max"])
+
+
+# ---- messages ---------------------------------------------------------------
+
+_KIND = "CASE kafka_offset % 97 WHEN 0 THEN 'malformed' WHEN 1 THEN 'bad timestamp' WHEN 2 THEN 'no asset' ELSE CASE WHEN quality <> 192 THEN 'quality' END END"
+
+
+def _messages(p: Plant) -> DataFrame:
+    """The telemetry as JSON messages, some of them broken."""
+    kind = F.col("kafka_offset") % 97
+    ts = F.when(kind == 1, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    body = F.to_json(F.struct(F.when(kind != 2, F.col("asset_id")).alias("asset_id"), "asset_type", ts.alias("ts"), "tag", "value", "quality"))
+    return p.telemetry.select(F.when(kind == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("value"), F.col("kafka_offset").alias("offset"), F.col("kafka_partition").alias("partition"))
+
+
+@_query(f"SELECT asset_id, asset_type, {_ts('ts')}, tag, {_r('value')}, kafka_offset FROM tel WHERE {_KIND} IS NULL")
+def parsed_events(p: Plant) -> DataFrame:
+    return _shown(telemetry.parse_events(_messages(p)), ["asset_id", "asset_type", "ts", "tag", "value", "kafka_offset"])
+
+
+@_query(f"SELECT kafka_offset, CAST(kafka_partition AS BIGINT) AS kafka_partition, {_KIND} AS reason FROM tel WHERE {_KIND} IS NOT NULL")
+def rejected_events(p: Plant) -> DataFrame:
+    return _shown(telemetry.rejected_events(_messages(p)), ["kafka_offset", "kafka_partition", "reason"])
+
+
 # ---- risk -------------------------------------------------------------------
 
 
+@_query(
+    f"""SELECT asset_id, {_ts()}, CAST(30 AS BIGINT) AS window_minutes, count(*) AS n_anomalies, count(DISTINCT anomaly_type) AS n_types, least(count(*), 50) AS n_listed,
+  CASE WHEN count(*) <= 50 THEN CAST(sum(p) AS BIGINT) END AS points, CASE WHEN count(*) <= 50 THEN round(sum(p * (30 - age) / 30.0) + {NUDGE}, 6) END AS faded FROM win GROUP BY ALL"""
+)
+def risk_evidence(p: Plant) -> DataFrame:
+    """What the evidence of decay risk says, read back from its JSON."""
+    e = risk.read_evidence(p.decay)
+    n = F.aggregate(F.map_values("evidence.driverCounts"), F.lit(0), lambda a, x: a + x)
+    listed = F.col("evidence.contributions")
+    points = F.aggregate(listed, F.lit(0).cast("bigint"), lambda a, x: a + x["basePoints"])
+    faded = F.aggregate(listed, F.lit(0.0), lambda a, x: a + x["basePoints"] * x["decay"])
+    few = n <= RiskOptions().evidence_rows
+    return _shown(e.select("asset_id", "minute_ts", F.col("evidence.windowMinutes").alias("window_minutes"), n.alias("n_anomalies"), F.size("evidence.driverCounts").alias("n_types"), F.size(listed).alias("n_listed"), F.when(few, points).alias("points"), F.when(few, faded).alias("faded")))
+
+
 @_query(f"SELECT {_RISK} FROM lrisk")
 def risk_threshold(p: Plant) -> DataFrame:
     return _shown(p.limit_risk, RISK)
@@ -345,6 +415,13 @@ def latest_active(p: Plant) -> DataFrame:
     return _shown(serving.latest_active(p.recs), ["asset_id", "rec_type", "as_of_minute_ts"])
 
 
+@_query(f"SELECT asset_id, {_ts('minute_ts', 'as_of_minute_ts')}, mode, risk_score, risk_level, coalesce(top_drivers, '') AS drivers FROM recs0 WHERE {_rule_sql(lambda r: r.priority)} IS NOT NULL")
+def rec_evidence(p: Plant) -> DataFrame:
+    """Evidence of recommendations written as JSON and read back."""
+    back = recommend.read_evidence(recommend.write_evidence(p.recs))
+    return _shown(back.select("asset_id", "as_of_minute_ts", "evidence.mode", "evidence.risk_score", "evidence.risk_level", "evidence.drivers"))
+
+
 @_query()
 def rec_lifecycle(p: Plant) -> DataFrame:
     """Four snapshots of current risk in turn, with commands between them."""
@@ -373,7 +450,8 @@ def list_assets(p: Plant) -> DataFrame:
 
 @_query("SELECT cur.asset_id, risk_score, risk_level, count(*) FILTER (WHERE status = 'OPEN') AS open_recommendations, count(*) FILTER (WHERE status = 'ACKED') AS acked_recommendations FROM cur LEFT JOIN recs ON recs.asset_id = cur.asset_id GROUP BY ALL")
 def asset_summary(p: Plant) -> DataFrame:
-    return _shown(serving.asset_summary(risk.current_risk(p.decay), p.recs), ["asset_id", "risk_score", "risk_level", "open_recommendations", "acked_recommendations"])
+    _, scored, recs = p.stored()
+    return _shown(serving.asset_summary(risk.current_risk(scored), recs), ["asset_id", "risk_score", "risk_level", "open_recommendations", "acked_recommendations"])
 
 
 def _series(step: int):
@@ -412,11 +490,31 @@ FROM cur c LEFT JOIN (SELECT asset_id, arg_max(risk_score, minute_ts) AS latest_
   min(risk_score) AS min_score, max(risk_score) AS max_score, avg(risk_score) AS avg_score FROM drisk WHERE {_IN} GROUP BY asset_id) s USING (asset_id)"""
 )
 def insight_facts(p: Plant) -> DataFrame:
-    df = serving.insight_facts(risk.current_risk(p.decay), p.recs, p.decay, p.hybrid, *_range())
+    found, scored, recs = p.stored()
+    df = serving.insight_facts(risk.current_risk(scored), recs, scored, found, *_range())
     df = df.withColumns({"n_anomalies": F.coalesce(F.size("anomalies"), F.lit(0)), "n_recs": F.coalesce(F.size("recommendations"), F.lit(0))})
     return _shown(df, ["asset_id", "latest_score", "latest_level", "trend", "min_score", "max_score", "avg_score", "n_anomalies", "n_recs"])
 
 
+_LISTED = "strftime({}, '%Y-%m-%d %H:%M:%S') || ' ' || {}"
+
+
+@_query(
+    f"""SELECT c.asset_id, coalesce(a.anomalies, '') AS anomalies, coalesce(r.recommendations, '') AS recommendations FROM cur c
+LEFT JOIN (SELECT asset_id, string_agg({_LISTED.format('minute_ts', 'anomaly_type')}, ', ' ORDER BY minute_ts DESC, anomaly_type) AS anomalies FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY minute_ts DESC, anomaly_type) AS rn FROM hyb WHERE {_IN}) WHERE rn <= 20 GROUP BY asset_id) a USING (asset_id)
+LEFT JOIN (SELECT asset_id, string_agg(rec_type || ' ' || priority, ', ' ORDER BY as_of_minute_ts DESC) AS recommendations FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY as_of_minute_ts DESC) AS rn FROM recs WHERE status = 'OPEN') WHERE rn <= 10 GROUP BY asset_id) r USING (asset_id)"""
+)
+def insight_lists(p: Plant) -> DataFrame:
+    """The two lists of the insight facts, item by item."""
+    found, scored, recs = p.stored()
+    df = serving.insight_facts(risk.current_risk(scored), recs, scored, found, *_range())
+    listed = {
+        "anomalies": F.transform("anomalies", lambda x: F.concat(F.date_format(x["minute_ts"], "yyyy-MM-dd HH:mm:ss"), F.lit(" "), x["anomaly_type"])),
+        "recommendations": F.transform("recommendations", lambda x: F.concat(x["rec_type"], F.lit(" "), x["priority"].cast("string"))),
+    }
+    return df.select("asset_id", *[F.coalesce(F.array_join(x, ", "), F.lit("")).alias(c) for c, x in listed.items()])
+
+
 @_query(f"SELECT l.asset_id, {_ts('l.minute_ts', 'minute_ts')}, l.risk_score, EXISTS (SELECT 1 FROM hyb WHERE hyb.asset_id = l.asset_id AND hyb.minute_ts = l.minute_ts) AS has_anomaly FROM lrisk l")
 def risk_markers(p: Plant) -> DataFrame:
     return _shown(serving.risk_markers(p.limit_risk, p.hybrid), ["asset_id", "minute_ts", "risk_score", "has_anomaly"])
@@ -534,18 +632,51 @@ def recompute_late(p: Plant) -> DataFrame:
     return _shown(jobs.recompute(p.facts, whole.unionByName(late.select("asset_id", "minute_ts")), MIN_EVENTS)["risk"], ["asset_id", "minute_ts", "risk_score"])
 
 
-@_query(f"SELECT asset_id, {_ts()}, {_FACT} FROM fact WHERE minute_ts + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM good)")
+_CLOSED = "minute_ts + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM good)"
+_ONCE = {"availableNow": True}
+
+
+def _event_stream(p: Plant) -> DataFrame:
+    schema = p.spark.read.parquet(f"{p.sf_dir}/events.parquet").schema
+    return telemetry.good_events(telemetry.telemetry_from_events(p.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(p.sf_dir)))
+
+
+@_query(f"SELECT asset_id, {_ts()}, {_FACT} FROM fact WHERE {_CLOSED}")
 def stream_minute_fact(p: Plant) -> DataFrame:
     """Closed minutes of one streaming pass over the events."""
     path = scratch_folder(p.spark)
-    schema = p.spark.read.parquet(f"{p.sf_dir}/events.parquet").schema
-    events = telemetry.good_events(telemetry.telemetry_from_events(p.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(p.sf_dir)))
-    query = jobs.start_facts(events, f"{path}/facts", f"{path}/checkpoint", trigger={"availableNow": True})
-    query.awaitTermination()
+    jobs.start_facts(_event_stream(p), f"{path}/facts", f"{path}/checkpoint", trigger=_ONCE).awaitTermination()
     return _shown(p.spark.read.schema(p.facts.schema).parquet(f"{path}/facts").drop("fault_code_max"))
 
 
-@_query()
+@_query(f"SELECT asset_id, {_ts()}, risk_score, risk_level, top_drivers, location, criticality, CAST(event_count AS BIGINT) AS event_count FROM lrisk JOIN (SELECT asset_id, minute_ts, location, criticality, event_count FROM enr) e USING (asset_id, minute_ts) WHERE {_CLOSED}")
+def stream_analytics(p: Plant) -> DataFrame:
+    """Risk and enriched minutes as the analytics stream's fan-out writes them."""
+    path = scratch_folder(p.spark)
+    analytics.start_analytics(_event_stream(p), p.profiles, path, f"{path}/checkpoint", trigger=_ONCE).awaitTermination()
+    scored, enriched = (sinks.read_batches(p.spark, f"{path}/{t}").drop("batch_id") for t in ("risk", "enriched"))
+    joined = scored.join(enriched.select("asset_id", "minute_ts", "location", "criticality", "event_count"), ["asset_id", "minute_ts"])
+    return _shown(joined, ["asset_id", "minute_ts", "risk_score", "risk_level", "top_drivers", "location", "criticality", "event_count"])
+
+
+@_query(f"SELECT asset_id, {_ts()}, risk_score, risk_level, failure_mode, top_drivers FROM drisk WHERE {_CLOSED}")
+def stream_chain(p: Plant) -> DataFrame:
+    """Decay risk as the consumers behind the facts stream write it."""
+    path = scratch_folder(p.spark)
+    jobs.start_facts(_event_stream(p), f"{path}/facts", f"{path}/checkpoint", trigger=_ONCE).awaitTermination()
+    analytics.start_chain(p.spark, f"{path}/facts", path, f"{path}/checkpoint_chain", MIN_EVENTS, _ONCE).awaitTermination()
+    return _shown(analytics.chain_table(p.spark, path, "risk"), RISK)
+
+
+_STEPS = "CASE kafka_offset % 5 WHEN 1 THEN 't1|t2' WHEN 3 THEN 'x|y' ELSE '' END"
+
+
+@_query(
+    f"""SELECT asset_id, kafka_offset, CASE kafka_offset % 5 WHEN 0 THEN 'h' || asset_id WHEN 1 THEN 'AI Insight' WHEN 3 THEN 'AI Insight' ELSE 'Insight unavailable' END AS headline,
+  CASE WHEN kafka_offset % 5 IN (0, 1, 3) THEN 'No summary returned.' ELSE 'The insight engine returned invalid JSON.' END AS summary, CASE kafka_offset % 5 WHEN 0 THEN 'a' ELSE '' END AS what_changed, '' AS likely_causes,
+  {_STEPS} AS recommended_next_steps, CASE kafka_offset % 5 WHEN 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN kafka_offset % 5 IN (0, 1, 3) THEN '' ELSE 'llm_parse_error' END AS evidence_used,
+  CASE WHEN kafka_offset % 5 IN (0, 1, 3) THEN 'Generated output may be imperfect; verify against source data.' ELSE 'Generated text may be imperfect; verify against underlying signals.' END AS disclaimer FROM good"""
+)
 def replies_normalised(p: Plant) -> DataFrame:
     """Replies built from the events' values, some broken, as typed rows."""
     n = F.col("kafka_offset") % 5
@@ -555,4 +686,5 @@ def replies_normalised(p: Plant) -> DataFrame:
         .when(n == 2, F.lit("no json"))
         .when(n == 3, F.lit('{"recommended_next_steps": ["x", "y"], "confidence": "high"}'))
     )
-    return normalise_replies(p.good.select("asset_id", "kafka_offset", text.alias("reply"))).drop("reply")
+    df = normalise_replies(p.good.select("asset_id", "kafka_offset", text.alias("reply"))).drop("reply")
+    return df.withColumns({f.name: F.array_join(f.name, "|") for f in df.schema.fields if f.dataType.typeName() == "array"})

@@ -27,8 +27,11 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def insert_new(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The batch's rows whose key is not there yet, one for each key."""
-    return batch.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """The batch's rows whose key is not there yet; of several of one key the
+    least by its other columns, so that a replay takes the same."""
+    once = batch.groupBy(*keys).agg(F.min(F.struct(*[c for c in batch.columns if c not in keys])).alias("__r"))
+    once = once.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in batch.columns]) if len(batch.columns) > len(keys) else batch.distinct()
+    return once.join(existing.select(*keys), keys, "left_anti")
 
 
 def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -46,9 +49,10 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order: str
 
     With ``order`` an update replaces only an older row, and of several
     updates of a key the newest counts, so late batches don't turn time back.
+    Without it the greatest of several updates by all columns counts.
     """
     if order is None:
-        once = updates.dropDuplicates(keys)
+        once = newest(updates.withColumn("__all", F.struct(*updates.columns)), keys, "__all").select(*updates.columns)
         return existing.join(once.select(*keys), keys, "left_anti").unionByName(once)
     return newest(existing.unionByName(updates), keys, order)
 
@@ -60,6 +64,56 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
     return path
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def has_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def upsert_version(batch: DataFrame, base: str, version: int, keys: list[str], order: str) -> str:
+    """The next version of a table of states: the one before with newer rows."""
+    table = upsert(batch.sparkSession.read.parquet(f"{base}/v={version - 1}"), batch, keys, order) if version else newest(batch, keys, order)
+    return write_version(table, base, version)
+
+
+def read_version(spark: SparkSession, base: str, version: int, schema: str) -> DataFrame:
+    """A version of a table; without any (before the first) an empty one."""
+    return spark.read.schema(schema).parquet(f"{base}/v={version}") if version >= 0 else spark.createDataFrame([], schema)
+
+
+def keep_version(spark: SparkSession, base: str, version: int, schema: str) -> str:
+    """Carry the version before on without a change."""
+    return write_version(read_version(spark, base, version - 1, schema), base, version)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``append_batch`` wrote, with ``batch_id``."""
+    return spark.read.parquet(path)
+
+
+def read_newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """A table whose batches hold changed rows only: the last row of each key."""
+    return newest(read_batches(spark, path), keys, "batch_id").drop("batch_id")
+
+
+def save_mark(mark: DataFrame, base: str, consumer: str, version: int) -> None:
+    """Store how far a consumer has come: ``mark`` is one row with ``last``."""
+    mark.select("last").write.mode("overwrite").parquet(f"{base}/consumer={consumer}/v={version}")
+
+
+def load_mark(spark: SparkSession, base: str, consumer: str, default=None):
+    """The newest mark of a consumer, or ``default`` before its first."""
+    path = f"{base}/consumer={consumer}"
+    if not has_folder(spark, path):
+        return default
+    found = spark.read.parquet(path).agg(F.max_by("last", "v").alias("last")).first()["last"]
+    return default if found is None else found
+
+
 def latest_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key by a full order (ties broken by the order)."""
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")

@@ -10,7 +10,7 @@ from plantpulse.config import GOOD_QUALITY
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 ASSETS = ("COMP_001", "FAN_001", "GBX_001", "PUMP_001", "PUMP_002", "EXTRA_001")
-#: The plant's five profiled assets.
+#: The plant's five profiled assets (fixed values).
 PROFILE_ROWS = (
     ("COMP_001", "Building-A", "Compressor", "Atlas Copco", 2019, 150, 90, "HIGH", 1.25),
     ("FAN_001", "Building-B", "Fan", "Ebm-papst", 2020, 5000, 180, "MEDIUM", 1.00),

@@ -44,7 +44,9 @@ def start_facts(events: DataFrame, path: str, checkpoint: str, watermark: str =
 def start_fact_upserts(events: DataFrame, base: str, checkpoint: str, watermark: str = "2 minutes", trigger: dict | None = None) -> StreamingQuery:
     """Early minute facts: each batch upserts the minutes that changed.
 
-    Versions are folders of their own; the newest holds the whole table.
+    Versions are folders of their own; the newest holds the whole table, and
+    those older than the one before it are removed.  For a table too large to
+    be written anew each time use ``start_fact_changes``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -52,11 +54,22 @@ def start_fact_upserts(events: DataFrame, base: str, checkpoint: str, watermark:
         before = f"{base}/v={batch_id - 1}"
         table = sinks.upsert(spark.read.parquet(before), batch, ["asset_id", "minute_ts"]) if batch_id else batch
         sinks.write_version(table, base, batch_id)
+        if batch_id > 1:
+            sinks.drop_folder(spark, f"{base}/v={batch_id - 2}")
 
     changed = facts.minute_facts(events, watermark)
     return changed.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
+def start_fact_changes(events: DataFrame, path: str, checkpoint: str, watermark: str = "2 minutes", trigger: dict | None = None) -> StreamingQuery:
+    """Early minute facts: each batch writes the minutes that changed, no more.
+
+    ``sinks.read_newest(spark, path, ["asset_id", "minute_ts"])`` is the table.
+    """
+    changed = facts.minute_facts(events, watermark)
+    return changed.writeStream.foreachBatch(lambda batch, batch_id: sinks.append_batch(batch, path, batch_id)).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
 def threshold_chain(minute: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
     """All tables that follow from minute facts under the threshold policy."""
     enriched = facts.enrich(minute, profiles)

@@ -11,12 +11,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     conf = {
         "spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
+        "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.checkpoint.dir": tmp_path_factory.mktemp("scratch").as_uri(),
     }
     s = SparkSession.builder.config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")

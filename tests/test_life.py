@@ -121,3 +121,41 @@ def test_replies(spark):
     assert (got[1].headline, got[1].recommended_next_steps, got[1].confidence) == ("AI Insight", ["t", "u"], 0.0)
     assert all(got[i].headline == "Insight unavailable" and got[i].evidence_used == ["llm_parse_error"] for i in (2, 3, 5))
     assert got[4].recommended_next_steps == []
+
+
+def test_csv_dimension_view_and_tables(spark, tmp_path):
+    rows = telemetry.load_asset_profiles(spark).collect()
+    path = tmp_path / "profiles.csv"
+    path.write_text("\n".join([",".join(rows[0].asDict()), *[",".join("" if v is None else str(v) for v in r) for r in rows]]) + "\n")
+    read = telemetry.load_asset_profiles(spark, str(path), view="profiles_read")
+    assert read.collect() == rows and spark.table("profiles_read").count() == len(rows)
+    read.write.parquet(f"{tmp_path}/base/profiles")
+    assert telemetry.read_tables(spark, f"{tmp_path}/base", "profiles")["profiles"].count() == len(rows)
+
+
+def test_database_and_managed_table(spark):
+    sinks.create_database(spark, "plant_of_tests")
+    sinks.create_database(spark, "plant_of_tests")  # once more changes nothing
+    try:
+        df = spark.createDataFrame([("A", at(1)), ("A", at(30))], "asset_id string, minute_ts timestamp")
+        for _ in range(2):
+            sinks.append_table(df, "plant_of_tests.minutes")
+        got = spark.table("plant_of_tests.minutes")
+        assert got.count() == 4 and {str(r.event_date) for r in got.collect()} == {"2024-01-01", "2024-01-02"}
+    finally:
+        spark.sql("DROP DATABASE plant_of_tests CASCADE")
+
+
+def test_evidence_survives_json(spark):
+    df = spark.createDataFrame([(1, ("CAVITATION", 71, "HIGH", "FLOW_DROPx2", 'said "seen"', "me", None, None)), (2, None)], f"id int, {schemas.RECOMMENDATIONS[schemas.RECOMMENDATIONS.index('evidence struct'):schemas.RECOMMENDATIONS.index(', cooldown_until')]}")
+    text = recommend.write_evidence(df)
+    assert recommend.read_evidence(text).collect() == df.collect()
+    assert recommend.read_evidence(text.withColumn("evidence_json", columns.F.lit("none"))).first().evidence is None
+
+
+def test_upserts_and_inserts_take_the_same_row_each_time(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 3, "y")], "k string, v int, w string")
+    empty = df.limit(0)
+    for n in (1, 5):
+        assert sorted(map(tuple, sinks.insert_new(empty, df.repartition(n), ["k"]).collect())) == [("a", 1, "x"), ("b", 3, "y")]
+        assert sorted(map(tuple, sinks.upsert(empty, df.repartition(n), ["k"]).collect())) == [("a", 2, None), ("b", 3, "y")]
