@@ -64,9 +64,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, bytes_an_id: int,
         for b in textbuf.slices(batches, "text"):
             yield pa.record_batch([pa.array([_numbers(x[:most], bytes_an_id)[:most] for x in _documents(b.column("text"), path, end_id)], pa.binary())], ["ids"])
 
-    # ids first: only they are sorted, and at most ``sample`` of them are joined
+    # ids first: only they are sorted, and at most ``sample`` of them are joined;
+    # of rows that repeat an id the least text, so that no more come to the driver
     ids = docs.filter("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("text")
+    chosen = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     rows = [r.ids for r in chosen.mapInArrow(serialized, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()

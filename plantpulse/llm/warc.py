@@ -28,6 +28,8 @@ from plantpulse.llm import scratch, textbuf
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are always stored.
+#: Copies of each repeated payload's digest in the join with the pages.
+COPIES = 8
 REVISIT_BYTES = 1000
 RECORDS = (
     "file string, position long, type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, "
@@ -111,9 +113,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     root = scratch.root(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("sha1"))
-    large = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha1", "last")
+    large = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    # a payload of very many pages is one key: pages are dealt over several copies of it
+    large = large.select("sha1", "last", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("dealt"))
     refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    placed = rows.join(large, "sha1", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    dealt = F.pmod(F.xxhash64("page_id"), F.lit(COPIES)).cast("int")
+    placed = rows.withColumn("dealt", dealt).join(large, ["sha1", "dealt"], "left").select("page_id", "url", "html", refers.alias("refers_to"))
     return scratch.stored(placed.mapInArrow(_write(f"{root}/warc"), "path string, captures long"), f"{root}/manifest")
 
 
