@@ -22,8 +22,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Most rows of a batch sent to Python: texts are kilobytes each.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and batches of texts that stay a few megabytes."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_to = int(spark.conf.get(key))
+    if not 0 < set_to <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
