@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.llm import entries, near_dedup, packing, quality_rules, scratch, substring_dedup
-from plantpulse.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Lines above the limits are cut out of the others.  See
     ``quality_rules.passing`` for nulls, repeated rows and empty tables.
     """
-    ship_package(spark)
+    entries.prepare(spark)
     return quality_rules.passing(docs)
 
 
@@ -29,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and wordless texts and rows without an id stay; see
     ``near_dedup.without_near_duplicates``.
     """
-    ship_package(spark)
+    entries.prepare(spark)
     return near_dedup.without_near_duplicates(docs, percent=80)
 
 
@@ -39,7 +38,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row goes, even where all its words do; see
     ``substring_dedup.without_repeats``.
     """
-    ship_package(spark)
+    entries.prepare(spark)
     return substring_dedup.without_repeats(docs)
 
 
@@ -48,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is packed as its end token; see ``packing.pack_documents``.
     """
-    ship_package(spark)
+    entries.prepare(spark)
     return packing.pack_documents(docs, entries.tokenizer_file("word_bpe_49k.json"))
 
 
