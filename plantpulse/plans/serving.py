@@ -78,12 +78,12 @@ def rec_queue(recs: DataFrame, status: str | None = "OPEN", take: int | None = N
     df = _with_status(recs, status, ("OPEN",))
     if asset_id is not None:
         df = df.filter(F.col("asset_id") == asset_id)
-    return df.orderBy(F.desc("as_of_minute_ts"), F.desc("created_at"), "recommendation_id").limit(clamp(take, 50, 500))
+    return df.orderBy(F.desc("as_of_minute_ts"), F.desc("created_at"), "asset_id", "rec_type", "recommendation_id").limit(clamp(take, 50, 500))
 
 
-def asset_recs(recs: DataFrame, asset_id: str, status: str | None = None, take: int | None = None) -> DataFrame:
-    df = _with_status(recs.filter(F.col("asset_id") == asset_id), status, None)
-    return df.orderBy(F.desc("created_at"), F.desc("as_of_minute_ts"), "recommendation_id").limit(clamp(take, 100, 500))
+def asset_recs(recs: DataFrame, asset_id: str | None = None, status: str | None = None, take: int | None = None) -> DataFrame:
+    df = _with_status(_of(recs, None if asset_id is None else [asset_id]), status, None)
+    return df.orderBy(F.desc("created_at"), F.desc("as_of_minute_ts"), "asset_id", "rec_type", "recommendation_id").limit(clamp(take, 100, 500))
 
 
 def risk_span(risk: DataFrame, start, end) -> DataFrame:
@@ -117,22 +117,27 @@ def risk_markers(risk: DataFrame, anomalies: DataFrame) -> DataFrame:
 # ---- dashboard panels ------------------------------------------------------
 
 
-def panel_score_by_asset(current: DataFrame, assets: list[str]) -> DataFrame:
-    return current.filter(F.col("asset_id").isin(assets)).select(F.col("asset_id").alias("metric"), F.col("risk_score").alias("value")).orderBy("metric")
+def _of(df: DataFrame, assets: list[str] | None) -> DataFrame:
+    """Rows of these assets; None means all."""
+    return df if assets is None else df.filter(F.col("asset_id").isin(assets))
 
 
-def panel_levels(current: DataFrame, assets: list[str]) -> DataFrame:
-    return current.filter(F.col("asset_id").isin(assets)).select("asset_id", "risk_score", "risk_level", "failure_mode", "top_drivers", "as_of_minute_ts").orderBy(F.desc("risk_score"), "asset_id")
+def panel_score_by_asset(current: DataFrame, assets: list[str] | None = None) -> DataFrame:
+    return _of(current, assets).select(F.col("asset_id").alias("metric"), F.col("risk_score").alias("value")).orderBy("metric")
 
 
-def panel_series(df: DataFrame, column: str, assets: list[str], start, end, ts: str = "minute_ts") -> DataFrame:
+def panel_levels(current: DataFrame, assets: list[str] | None = None) -> DataFrame:
+    return _of(current, assets).select("asset_id", "risk_score", "risk_level", "failure_mode", "top_drivers", "as_of_minute_ts").orderBy(F.desc("risk_score"), "asset_id")
+
+
+def panel_series(df: DataFrame, column: str, assets: list[str] | None, start, end, ts: str = "minute_ts") -> DataFrame:
     """time, metric, value of one column: temperature, vibration, risk, ..."""
-    kept = df.filter(F.col("asset_id").isin(assets) & between(ts, start, end))
+    kept = _of(df, assets).filter(between(ts, start, end))
     return kept.select(F.col(ts).alias("time"), F.col("asset_id").alias("metric"), F.col(column).alias("value")).orderBy("time", "metric")
 
 
-def panel_anomalies(anomalies: DataFrame, assets: list[str], start, end, take: int = 100) -> DataFrame:
-    kept = anomalies.filter(F.col("asset_id").isin(assets) & between("minute_ts", start, end))
+def panel_anomalies(anomalies: DataFrame, assets: list[str] | None, start, end, take: int = 100) -> DataFrame:
+    kept = _of(anomalies, assets).filter(between("minute_ts", start, end))
     return newest_first(kept).limit(take)
 
 
