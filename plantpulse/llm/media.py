@@ -1,4 +1,4 @@
-"""Media columns: payloads stored as FLAC, read back, and measured."""
+"""Media columns: payloads as FLAC, decoded to stored PCM blocks, read back and measured."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.llm import flac, textbuf
+from plantpulse.llm import flac, scratch, textbuf
 
 UNIT = 64
 
@@ -46,35 +47,68 @@ def feature(payload: bytes) -> str:
     return f"samples={len(x)};min={x.min()};max={x.max()};sum={x.sum()};energy={(x * x).sum()};crossings={crossings}"
 
 
+def _pcm(block: int):
+    def run(batches):
+        for b in textbuf.slices(batches, "media"):
+            streams = b.column("media").to_pylist()
+            payloads = flac.decode(streams)
+            sizes = np.array([len(p) for p in payloads], np.int64)
+            per = -(-sizes // block)
+            number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+            held = np.minimum(np.repeat(sizes, per) - number * block, block)
+            # blocks of a payload follow each other, so they are cuts of one buffer
+            samples = np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80
+            cuts = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+            pcm = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(cuts), pa.py_buffer(samples)])
+            parts = pa.StructArray.from_arrays([pa.array(number * block), pa.array(held.astype(np.int32)), pcm], ["sample_offset", "n_samples", "pcm"])
+            yield pa.record_batch(
+                [b.column("doc_id"), b.column("n_bytes"), pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams]), textbuf.lists(per, parts)],
+                ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"],
+            )
+
+    return run
+
+
+def pcm_column(media: DataFrame, block: int = 4096) -> DataFrame:
+    """Streams decoded, with all their checksums, to ``blocks`` of samples.
+
+    doc_id, n_bytes, the stream's size and SHA-256, and an array of
+    (sample_offset, n_samples, signed 8-bit ``pcm``), so that a block is found
+    from the sample it holds.  One row a stream.
+    """
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, n_samples: int, pcm: binary>>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_pcm(block), schema)
+
+
+def pcm_blocks(media: DataFrame, block: int = 4096) -> DataFrame:
+    """doc_id, block, sample_offset, n_samples and signed 8-bit ``pcm``: a row a block."""
+    return pcm_column(media, block).select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.sample_offset", "b.n_samples", "b.pcm")
+
+
 def _features(batches):
-    for b in textbuf.slices(batches, "media"):
-        streams = b.column("media").to_pylist()
-        payloads = flac.decode(streams)
+    for b in batches:
+        blocks = b.column("blocks")
+        raw, cuts = textbuf.flat(pc.struct_field(blocks.flatten(), "pcm"))
+        ends = np.cumsum(pc.list_value_length(blocks).to_numpy(zero_copy_only=False))
+        at = cuts[np.concatenate([[0], ends]).astype(np.int64)].tolist()
+        payloads = [(raw[i:j] ^ 0x80).tobytes() for i, j in zip(at[:-1], at[1:])]
         yield pa.record_batch(
             [
                 b.column("doc_id"), b.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(s) for s in streams], pa.int64()),
-                pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array([feature(p) for p in payloads]),
+                pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), b.column("media_bytes"), b.column("media_sha256"), pa.array([feature(p) for p in payloads]),
             ],
             ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
         )
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read every stream back, with all its checksums, and measure it."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, schema)
+    """Store every stream's PCM blocks in the shared folder, read them back and measure them.
 
-
-def pcm_blocks(media: DataFrame, block: int = 4096) -> DataFrame:
-    """doc_id, block, sample_offset, n_samples and signed 8-bit ``pcm``."""
-
-    def run(batches):
-        for b in textbuf.slices(batches, "media"):
-            for doc, payload in zip(b.column("doc_id").to_pylist(), flac.decode(b.column("media").to_pylist())):
-                pcm = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
-                at = list(range(0, len(pcm), block))
-                parts = [pcm[i : i + block] for i in at]
-                yield pa.record_batch([pa.array([doc] * len(at), pa.int64()), pa.array(range(len(at)), pa.int32()), pa.array(at, pa.int64()), pa.array([len(p) for p in parts], pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
+    The digests of the payload and its features come from the stored blocks;
+    media_bytes and media_sha256 are the stream's.  An empty table gives an
+    empty result.
+    """
+    path = scratch.root(media.sparkSession) + "/pcm"
+    pcm = scratch.stored(pcm_column(media), path, "zstd")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return pcm.mapInArrow(_features, schema)

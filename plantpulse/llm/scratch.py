@@ -9,9 +9,9 @@ from plantpulse.session import scratch_folder as root
 __all__ = ["drop", "fresh", "root", "stored"]
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """Write the rows as Parquet and read them back."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

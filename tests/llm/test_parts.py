@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plantpulse.llm import flac, html_extraction, labelled_pages, packing, repeats, textbuf
+from plantpulse.llm import flac, html_extraction, labelled_pages, media, packing, repeats, textbuf
 from plantpulse.llm.components import components
 from plantpulse.llm.html_blocks import blocks
 from plantpulse.llm.suffix_array import permuted_lcp, suffix_array
@@ -198,3 +198,18 @@ def test_blocks_of_careless_pages():
     assert [b.text for b in found] == ["a&b c d", "e", "f", "g", "h", "j"]
     assert found[3].linked == 1 and found[5].path[-1] == ("div", ("ad",))
     assert blocks("<article><p>cut off <a hre")[0].text == "cut off"
+
+
+def test_pcm_blocks_are_found_by_their_samples(spark, docs, texts):
+    stored = media.pcm_column(media.media_column(docs.filter("doc_id in (1, 6, 71, 72)")), 1000).collect()
+    assert sorted(r.doc_id for r in stored) == [1, 6, 71, 72]
+    for r in stored:
+        raw = (dict(texts)[r.doc_id] or "").encode()
+        whole = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert r.n_bytes == len(raw) and [b.sample_offset for b in r.blocks] == list(range(0, len(whole), 1000))
+        for b in r.blocks:
+            assert bytes(x ^ 0x80 for x in b.pcm) == whole[b.sample_offset : b.sample_offset + b.n_samples]
+    again = media.pcm_blocks(media.media_column(docs.filter("doc_id = 72")), 1000).orderBy("block").collect()
+    long = next(r for r in stored if r.doc_id == 72).blocks
+    assert [(r.block, r.sample_offset, r.n_samples, bytes(r.pcm)) for r in again] == [(i, b.sample_offset, b.n_samples, bytes(b.pcm)) for i, b in enumerate(long)]
+    assert media.pcm_column(media.media_column(docs.limit(0))).count() == 0
