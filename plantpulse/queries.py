@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plantpulse import schemas
 from plantpulse.config import DEPLOYED_HYBRID as H
-from plantpulse.config import LIMITS, RULES, SIGNALS, RiskOptions
+from plantpulse.config import FAMILIES, GENERAL_FAMILY, LIMITS, RULES, SIGNALS, RiskOptions
 from plantpulse.functions.columns import dashboard_band, normalise_replies, severity_badge, ui_badge
 from plantpulse.operators import detect, facts, features, recommend, risk
 from plantpulse.plans import serving
@@ -421,21 +421,58 @@ def rec_evidence(p: Plant) -> DataFrame:
     return _shown(back.select("asset_id", "as_of_minute_ts", "evidence.mode", "evidence.risk_score", "evidence.risk_level", "evidence.drivers"))
 
 
-@_query()
+_HOURS = (3, 6, 9, 12)
+
+
+def _family_sql(mode: str) -> str:
+    return f"CASE {mode} " + " ".join(f"WHEN '{m}' THEN '{f}'" for m, f in FAMILIES.items()) + f" ELSE '{GENERAL_FAMILY}' END"
+
+
+def _lifecycle_sql() -> str:
+    """The table after each snapshot as a CTE of its own; one key a state, as ids are hashes."""
+    known = " OR ".join(f"starts_with(rec_type, '{f}')" for f in (*FAMILIES.values(), GENERAL_FAMILY))
+    steps = ["life AS (SELECT '' AS rid, asset_id, rec_type, status, as_of_minute_ts, as_of_minute_ts AS created_at, as_of_minute_ts AS updated_at, '' AS closed_by, as_of_minute_ts AS ack_until, state_fingerprint FROM recs WHERE false)"]
+    table = "life"
+    for i, hour in enumerate(_HOURS):
+        now = f"TIMESTAMP '2024-01-01 {hour:02}:00:00'"
+        steps.append(f"""snap{i} AS MATERIALIZED (SELECT *, risk_level = 'LOW' OR risk_score < 30 OR mode = 'UNKNOWN' AS resolved FROM (SELECT * FROM recs0 WHERE minute_ts < {now} QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY minute_ts DESC) = 1)),
+held{i} AS (SELECT * FROM {table} WHERE status <> 'CLOSED' QUALIFY row_number() OVER (PARTITION BY asset_id, rec_type ORDER BY created_at DESC, rid DESC) = 1),
+made{i} AS (SELECT s.asset_id, s.mode, r.* EXCLUDE (asset_id) FROM snap{i} s JOIN recs r ON r.asset_id = s.asset_id AND r.as_of_minute_ts = s.minute_ts WHERE NOT resolved),
+turn{i} AS MATERIALIZED (SELECT m.*, concat_ws('|', m.asset_id, m.rec_type, m.as_of_minute_ts, m.state_fingerprint) AS rid, h.rid AS held,
+  coalesce(h.status = 'ACKED' AND m.as_of_minute_ts < h.ack_until, false) OR coalesce(upper(h.state_fingerprint) = upper(m.state_fingerprint), false) AS skip,
+  CASE WHEN h.rid IS NOT NULL THEN nullif({_family_sql("upper(split_part(h.state_fingerprint, '|', 1))")}, {_family_sql("m.mode")}) END AS turned
+  FROM made{i} m LEFT JOIN held{i} h ON h.asset_id = m.asset_id AND h.rec_type = m.rec_type),
+shut{i} AS (SELECT *, status <> 'CLOSED' AND (asset_id IN (SELECT asset_id FROM snap{i} WHERE resolved) AND ({known})
+  OR EXISTS (SELECT 1 FROM turn{i} t WHERE t.asset_id = l.asset_id AND starts_with(l.rec_type, t.turned)) OR rid IN (SELECT held FROM turn{i} WHERE NOT skip AND held IS NOT NULL)) AS shut FROM {table} l),
+life{i} AS MATERIALIZED (SELECT rid, asset_id, rec_type, CASE WHEN shut THEN 'CLOSED' ELSE status END AS status, as_of_minute_ts, created_at, CASE WHEN shut THEN {now} ELSE updated_at END AS updated_at, CASE WHEN shut THEN 'system' ELSE closed_by END AS closed_by, ack_until, state_fingerprint FROM shut{i}
+  UNION ALL SELECT rid, asset_id, rec_type, 'OPEN', as_of_minute_ts, {now}, {now}, NULL, NULL, state_fingerprint FROM turn{i} WHERE NOT skip AND rid NOT IN (SELECT rid FROM {table}))""")
+        table = f"life{i}"
+        if i == 1:
+            steps.append(f"""told AS MATERIALIZED (SELECT rid, asset_id, rec_type, CASE WHEN status <> 'OPEN' THEN status WHEN asset_id < 'G' THEN 'ACKED' ELSE 'CLOSED' END AS status, as_of_minute_ts, created_at, CASE WHEN status = 'OPEN' THEN {now} ELSE updated_at END AS updated_at,
+  CASE WHEN status = 'OPEN' AND asset_id >= 'G' THEN 'operator' ELSE closed_by END AS closed_by, CASE WHEN status = 'OPEN' AND asset_id < 'G' THEN {now} + INTERVAL 1 DAY ELSE ack_until END AS ack_until, state_fingerprint FROM {table})""")
+            table = "told"
+    times = ", ".join(_ts(c) for c in ("as_of_minute_ts", "created_at", "updated_at", "ack_until"))
+    return ", " + ",\n".join(steps) + f" SELECT asset_id, rec_type, status, {times}, closed_by FROM {table} l"
+
+
+@_query(_lifecycle_sql())
 def rec_lifecycle(p: Plant) -> DataFrame:
     """Four snapshots of current risk in turn, with commands between them."""
     path = scratch_folder(p.spark)
-    minutes = p.decay
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return p.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    minutes = stored(p.decay, "risk")
     recs = p.spark.createDataFrame([], schemas.RECOMMENDATIONS)
-    for i, hour in enumerate((3, 6, 9, 12)):
+    for i, hour in enumerate(_HOURS):
         now = F.expr(f"timestamp'2024-01-01 00:00:00' + interval {hour} hours")
         snapshot = risk.current_risk(minutes.filter(F.col("minute_ts") < now))
-        recs = recommend.reconcile(recs, snapshot, now)
+        recs = stored(recommend.reconcile(recs, snapshot, now), f"recs{i}")
         if i == 1:
             commands = recs.filter("status = 'OPEN'").select("recommendation_id", F.when(F.col("asset_id") < "G", "ack").otherwise("close").alias("action"), F.lit("operator").alias("by"), F.lit("seen").alias("note_or_reason"), F.lit(None).cast("timestamp").alias("ack_until"))
-            recs = recommend.apply_commands(recs, commands, now)
-        recs.write.parquet(f"{path}/recs{i}")
-        recs = p.spark.read.parquet(f"{path}/recs{i}")
+            recs = stored(recommend.apply_commands(recs, commands, now), "told")
     return _shown(recs, ["asset_id", "rec_type", "status", "as_of_minute_ts", "created_at", "updated_at", "closed_by", "ack_until"])
 
 
