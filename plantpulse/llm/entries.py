@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import byte_bpe, media, packing, token_files, warc
+from plantpulse.llm import byte_bpe, importance, media, packing, token_files, warc
 from plantpulse.llm.html_extraction import extract
 from plantpulse.llm.near_dedup import near_dedup
 from plantpulse.llm.quality_rules import quality_rules
@@ -80,6 +80,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(_table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
