@@ -139,7 +139,53 @@ last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM last
 """
 
+#: crc32 as SQL: a table of 256 entries made by its rule, then a step a byte.
+_CRC = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+
+
+def _crc_sql(text: str) -> str:
+    pairs = f"list_transform(range(CAST(length(hex(encode({text}))) // 2 AS BIGINT)), lambda k: CAST('0x' || hex(encode({text}))[2 * k + 1:2 * k + 2] AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {pairs}), lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)])), 4294967295)"
+
+
+_REPAIR = f"""
+WITH RECURSIVE {_CRC},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM src, (VALUES (0), (1)) AS v(n) WHERE fate <> 0 AND (n = 0 OR fate = 3)),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+rows AS MATERIALIZED (SELECT conv_id, turn, role, text, i, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM num),
+ins(s, t, paid, letters, added) AS (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'), (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 3, 'I', chr(10) || 'user:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''), (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 3, 'I', chr(10) || 'user:')),
+act AS (SELECT r.conv_id, r.i, t AS s, 4 AS paid, 'D' AS letter, t, '' AS added FROM rows r, (VALUES (0), (1), (2), (3)) AS v(t)
+  UNION ALL SELECT conv_id, i, s, CASE fault WHEN 3 THEN 3 ELSE 0 END, 'K', t, chr(10) || role || ':' || text FROM rows JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS k(s, c, t) USING (c) WHERE fault IN (0, 3)
+  UNION ALL SELECT conv_id, i, s, CASE fault WHEN 3 THEN 6 ELSE 3 END, 'R', t, chr(10) || name || ':' || text FROM rows, (VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')) AS k(s, t, name) WHERE fault IN (0, 3)),
+ways AS MATERIALIZED (SELECT a.conv_id, a.i, n.s, n.paid + a.paid AS paid, n.letters || a.letter AS letters, a.t, n.added || a.added AS added FROM act a JOIN ins n ON n.t = a.s),
+best(conv_id, i, s, b) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'made': ''}} FROM rows
+  UNION ALL SELECT p.conv_id, w.i, w.t, min({{'cost': CAST(p.b.cost + w.paid AS BIGINT), 'audit': p.b.audit || w.letters, 'made': p.b.made || w.added}}) FROM best p JOIN ways w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.i = p.i + 1 AND w.s = p.s GROUP BY p.conv_id, w.i, w.t),
+sums AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated, count_if(i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+done AS (SELECT k.conv_id, any_value(k.gaps) AS gaps, any_value(k.blank) AS blank, any_value(k.duplicate) AS duplicate, any_value(k.truncated) AS truncated, any_value(k.illegal) AS illegal, min({{'cost': CAST(p.b.cost + e.paid AS BIGINT), 'audit': p.b.audit || e.letters, 'made': p.b.made || e.added}}) AS b
+  FROM sums k JOIN best p ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.i = k.n JOIN ins e ON e.s = p.s AND e.t IN (0, 3) GROUP BY k.conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(d.b.cost, 0) AS cost, coalesce(d.b.audit, '') AS audit, sha256(coalesce(d.b.made[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+_RESAMPLE = f"""
+WITH {_CRC},
+texts AS (SELECT 0 AS which, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT which, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+f AS MATERIALIZED (SELECT which, doc_id, unnest(w) AS g FROM w UNION ALL SELECT which, doc_id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM w),
+place AS MATERIALIZED (SELECT g, {_crc_sql('g')} % 10000 AS b FROM (SELECT DISTINCT g FROM f), crc),
+counts AS (SELECT b, count_if(which = 0) AS s, count_if(which = 1) AS t FROM f JOIN place USING (g) GROUP BY b),
+total AS (SELECT CAST(sum(s) AS DOUBLE) + 10000 AS big_s, CAST(sum(t) AS DOUBLE) + 10000 AS big_t FROM counts),
+gain AS (SELECT b, CAST(floor(1000 * ln(((t + 1) * big_s) / ((s + 1) * big_t))) AS BIGINT) AS gain FROM counts, total),
+mean AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS sum_gain FROM f JOIN place USING (g) JOIN gain USING (b) WHERE which = 0 GROUP BY doc_id),
+scored AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((sum_gain - ((sum_gain % n_features + n_features) % n_features)) // n_features, 0) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || w.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise FROM w LEFT JOIN mean USING (doc_id) WHERE which = 0),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, a.rank FROM scored s LEFT JOIN able a ON a.doc_id = s.doc_id AND a.rank <= 25 * a.n // 100
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins of the operators that SQL can express at this size."""
-    return {"op1_quality_rules": _QUALITY, "op2_near_dedup": _NEAR, "op6_substring_dedup": _WINDOWS, "op8_warc": _WARC}
+    return {"op1_quality_rules": _QUALITY, "op2_near_dedup": _NEAR, "op6_substring_dedup": _WINDOWS, "op8_warc": _WARC, "op12_conversation_repair": _REPAIR, "op13_importance_resampling": _RESAMPLE}
