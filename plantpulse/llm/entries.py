@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import byte_bpe, conversation_repair, importance, media, packing, token_files, warc
+from plantpulse.llm import byte_bpe, conversation_repair, importance, media, packing, quality_classifier, token_files, warc
 from plantpulse.llm.html_extraction import extract
 from plantpulse.llm.near_dedup import near_dedup
 from plantpulse.llm.quality_rules import quality_rules
@@ -80,6 +80,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(_table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = _table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damage(whole), whole)
