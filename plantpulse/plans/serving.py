@@ -35,6 +35,15 @@ def asset_summary(current: DataFrame, recs: DataFrame, asset_id: str | None = No
     return base.join(counts, "asset_id", "left").fillna(0, ["open_recommendations", "acked_recommendations"])
 
 
+def risk_buckets(risk: DataFrame, step: int) -> DataFrame:
+    """The greatest risk of every asset's buckets of ``step`` minutes."""
+    return (
+        risk.groupBy("asset_id", F.window("minute_ts", f"{step} minutes").alias("w"))
+        .agg(F.max("risk_score").alias("risk_score"), F.max("risk_level").alias("risk_level"), F.max("failure_mode").alias("failure_mode"), F.max_by("risk_level", "risk_score").alias("level_at_max"))
+        .select("asset_id", F.col("w.start").alias("minute_ts"), "risk_score", "risk_level", "failure_mode", "level_at_max")
+    )
+
+
 def risk_series(risk: DataFrame, asset_id: str | None, start, end, step: int = 1) -> DataFrame:
     """Risk over time; steps of 5 and 15 minutes keep each bucket's greatest.
 
@@ -48,11 +57,7 @@ def risk_series(risk: DataFrame, asset_id: str | None, start, end, step: int = 1
     if check_step(step) == 1:
         out = df.select("asset_id", "minute_ts", "risk_score", "risk_level", "failure_mode", F.col("risk_level").alias("level_at_max"))
     else:
-        out = (
-            df.groupBy("asset_id", F.window("minute_ts", f"{step} minutes").alias("w"))
-            .agg(F.max("risk_score").alias("risk_score"), F.max("risk_level").alias("risk_level"), F.max("failure_mode").alias("failure_mode"), F.max_by("risk_level", "risk_score").alias("level_at_max"))
-            .select("asset_id", F.col("w.start").alias("minute_ts"), "risk_score", "risk_level", "failure_mode", "level_at_max")
-        )
+        out = risk_buckets(df, step)
     return out.orderBy("asset_id", "minute_ts")
 
 

@@ -679,7 +679,7 @@ def stream_minute_fact(p: Plant) -> DataFrame:
     """Closed minutes of one streaming pass over the events."""
     path = scratch_folder(p.spark)
     jobs.start_facts(_event_stream(p), f"{path}/facts", f"{path}/checkpoint", trigger=_ONCE).awaitTermination()
-    return _shown(p.spark.read.schema(p.facts.schema).parquet(f"{path}/facts").drop("fault_code_max"))
+    return _shown(p.spark.read.schema(p.facts.schema).parquet(f"{path}/facts").drop("fault_code_max", "event_date"))
 
 
 @_query(f"SELECT asset_id, {_ts()}, risk_score, risk_level, top_drivers, location, criticality, CAST(event_count AS BIGINT) AS event_count FROM lrisk JOIN (SELECT asset_id, minute_ts, location, criticality, event_count FROM enr) e USING (asset_id, minute_ts) WHERE {_CLOSED}")

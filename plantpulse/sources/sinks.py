@@ -74,6 +74,12 @@ def has_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+
+
 def upsert_version(batch: DataFrame, base: str, version: int, keys: list[str], order: str) -> str:
     """The next version of a table of states: the one before with newer rows."""
     table = upsert(batch.sparkSession.read.parquet(f"{base}/v={version - 1}"), batch, keys, order) if version else newest(batch, keys, order)

@@ -1,26 +1,21 @@
-"""The analytics stream with its fan-out, and the chain of consumers behind it.
+"""The analytics stream with its fan-out; the consumers behind it are in ``chain``.
 
 A batch writes its rows of each table into folders of its own and the current
 states as a new version, so a batch that is run again replaces what it wrote.
-Consumers read new minutes as a stream, recompute what these reach, and store
-how far they have come.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from plantpulse import schemas
-from plantpulse.config import SIGNALS
-from plantpulse.operators import detect, facts, features, recommend, risk
+from plantpulse.operators import detect, facts, features, risk
 from plantpulse.sources import sinks
-from plantpulse.streaming import jobs
+from plantpulse.streaming.chain import FACT, MINUTE, chain_table, start_chain
 
-FACT = ["asset_id", "minute_ts", *SIGNALS.values(), "event_count", "fault_code_max"]
-#: Keys of the chain's tables: of rows that several batches wrote the last counts.
-KEYS = {"features": ["asset_id", "minute_ts"], "anomalies": ["asset_id", "minute_ts", "anomaly_type", "signal"], "risk": ["asset_id", "minute_ts"]}
+__all__ = ["FACT", "KEYS", "chain_table", "start_analytics", "start_chain"]
+#: Minute tables of the chain behind this stream.
+KEYS = {"features": MINUTE, "anomalies": MINUTE, "risk": MINUTE}
 
 
 def start_analytics(events: DataFrame, profiles: DataFrame, base: str, checkpoint: str, watermark: str = "2 minutes", trigger: dict | None = None) -> StreamingQuery:
@@ -40,38 +35,3 @@ def start_analytics(events: DataFrame, profiles: DataFrame, base: str, checkpoin
             batch.unpersist()
 
     return enriched.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
-
-
-def start_chain(spark: SparkSession, facts_path: str, base: str, checkpoint: str, min_events: int = 5, trigger: dict | None = None) -> StreamingQuery:
-    """Features, hybrid anomalies, decay risk and recommendations of new minutes.
-
-    Each batch of new facts recomputes the minutes that it reaches, reconciles
-    the recommendations with the newest risk, and stores its high-water mark.
-    """
-    read = spark.read.parquet(facts_path).select(*FACT).schema
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.select("asset_id", "minute_ts").persist()
-        try:
-            mark = changed.agg(F.max("minute_ts").alias("last"))
-            last = mark.first()["last"]
-            if last is None:
-                sinks.keep_version(spark, f"{base}/recommendations", batch_id, schemas.RECOMMENDATIONS)
-                return
-            history = spark.read.schema(read).parquet(facts_path)
-            for name, rows in jobs.recompute(history, changed, min_events).items():
-                sinks.append_batch(rows, f"{base}/{name}", batch_id)
-            current = risk.current_risk(chain_table(spark, base, "risk").filter(F.col("minute_ts") <= F.lit(last)))
-            before = sinks.read_version(spark, f"{base}/recommendations", batch_id - 1, schemas.RECOMMENDATIONS)
-            sinks.write_version(recommend.reconcile(before, current, last), f"{base}/recommendations", batch_id)
-            sinks.save_mark(mark, f"{base}/marks", "chain", batch_id)
-        finally:
-            changed.unpersist()
-
-    new = spark.readStream.schema(read).parquet(facts_path)
-    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-
-
-def chain_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A table of the chain as it stands: features, anomalies or risk."""
-    return sinks.read_newest(spark, f"{base}/{name}", KEYS[name])

@@ -36,9 +36,9 @@ def start_raw(events: DataFrame, path: str, checkpoint: str, trigger: dict | Non
 
 
 def start_facts(events: DataFrame, path: str, checkpoint: str, watermark: str = "2 minutes", trigger: dict | None = None) -> StreamingQuery:
-    """Final minute facts: a minute is written once, when the watermark closes it."""
-    final = facts.minute_facts(events, watermark)
-    return final.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+    """Final minute facts by day: a minute is written once, when the watermark closes it."""
+    final = facts.minute_facts(events, watermark).withColumn("event_date", F.to_date("minute_ts"))
+    return final.writeStream.format("parquet").outputMode("append").partitionBy("event_date").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
 def start_fact_upserts(events: DataFrame, base: str, checkpoint: str, watermark: str = "2 minutes", trigger: dict | None = None) -> StreamingQuery:
