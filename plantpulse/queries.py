@@ -19,7 +19,7 @@ from plantpulse.operators import detect, facts, features, recommend, risk
 from plantpulse.plans import serving
 from plantpulse.session import scratch_folder, ship_package
 from plantpulse.sources import sinks, telemetry
-from plantpulse.streaming import analytics, jobs
+from plantpulse.streaming import analytics, chain, jobs
 
 #: Events in a minute from which it counts; the test tables are thin.
 MIN_EVENTS = 1
@@ -428,14 +428,14 @@ def _family_sql(mode: str) -> str:
     return f"CASE {mode} " + " ".join(f"WHEN '{m}' THEN '{f}'" for m, f in FAMILIES.items()) + f" ELSE '{GENERAL_FAMILY}' END"
 
 
-def _lifecycle_sql() -> str:
+def _lifecycle_sql(clock: str = "TIMESTAMP '2024-01-01 {:02}:00:00'", commands: bool = True) -> str:
     """The table after each snapshot as a CTE of its own; one key a state, as ids are hashes."""
     known = " OR ".join(f"starts_with(rec_type, '{f}')" for f in (*FAMILIES.values(), GENERAL_FAMILY))
     steps = ["life AS (SELECT '' AS rid, asset_id, rec_type, status, as_of_minute_ts, as_of_minute_ts AS created_at, as_of_minute_ts AS updated_at, '' AS closed_by, as_of_minute_ts AS ack_until, state_fingerprint FROM recs WHERE false)"]
     table = "life"
     for i, hour in enumerate(_HOURS):
-        now = f"TIMESTAMP '2024-01-01 {hour:02}:00:00'"
-        steps.append(f"""snap{i} AS MATERIALIZED (SELECT *, risk_level = 'LOW' OR risk_score < 30 OR mode = 'UNKNOWN' AS resolved FROM (SELECT * FROM recs0 WHERE minute_ts < {now} QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY minute_ts DESC) = 1)),
+        now = clock.format(hour)
+        steps.append(f"""snap{i} AS MATERIALIZED (SELECT *, risk_level = 'LOW' OR risk_score < 30 OR mode = 'UNKNOWN' AS resolved FROM (SELECT * FROM recs0 WHERE minute_ts < TIMESTAMP '2024-01-01 {hour:02}:00:00' QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY minute_ts DESC) = 1)),
 held{i} AS (SELECT * FROM {table} WHERE status <> 'CLOSED' QUALIFY row_number() OVER (PARTITION BY asset_id, rec_type ORDER BY created_at DESC, rid DESC) = 1),
 made{i} AS (SELECT s.asset_id, s.mode, r.* EXCLUDE (asset_id) FROM snap{i} s JOIN recs r ON r.asset_id = s.asset_id AND r.as_of_minute_ts = s.minute_ts WHERE NOT resolved),
 turn{i} AS MATERIALIZED (SELECT m.*, concat_ws('|', m.asset_id, m.rec_type, m.as_of_minute_ts, m.state_fingerprint) AS rid, h.rid AS held,
@@ -447,7 +447,7 @@ shut{i} AS (SELECT *, status <> 'CLOSED' AND (asset_id IN (SELECT asset_id FROM
 life{i} AS MATERIALIZED (SELECT rid, asset_id, rec_type, CASE WHEN shut THEN 'CLOSED' ELSE status END AS status, as_of_minute_ts, created_at, CASE WHEN shut THEN {now} ELSE updated_at END AS updated_at, CASE WHEN shut THEN 'system' ELSE closed_by END AS closed_by, ack_until, state_fingerprint FROM shut{i}
   UNION ALL SELECT rid, asset_id, rec_type, 'OPEN', as_of_minute_ts, {now}, {now}, NULL, NULL, state_fingerprint FROM turn{i} WHERE NOT skip AND rid NOT IN (SELECT rid FROM {table}))""")
         table = f"life{i}"
-        if i == 1:
+        if commands and i == 1:
             steps.append(f"""told AS MATERIALIZED (SELECT rid, asset_id, rec_type, CASE WHEN status <> 'OPEN' THEN status WHEN asset_id < 'G' THEN 'ACKED' ELSE 'CLOSED' END AS status, as_of_minute_ts, created_at, CASE WHEN status = 'OPEN' THEN {now} ELSE updated_at END AS updated_at,
   CASE WHEN status = 'OPEN' AND asset_id >= 'G' THEN 'operator' ELSE closed_by END AS closed_by, CASE WHEN status = 'OPEN' AND asset_id < 'G' THEN {now} + INTERVAL 1 DAY ELSE ack_until END AS ack_until, state_fingerprint FROM {table})""")
             table = "told"
@@ -701,6 +701,73 @@ def stream_chain(p: Plant) -> DataFrame:
     return _shown(analytics.chain_table(p.spark, path, "risk"), RISK)
 
 
+def _chain_in_steps(p: Plant, parts: list[Column]) -> str:
+    """The chain over facts that arrive in parts, a restart after each; where it wrote."""
+    path = scratch_folder(p.spark)
+    rows = p.facts.withColumn("event_date", F.to_date("minute_ts")).persist()
+    try:
+        for part in parts:
+            rows.filter(part).write.mode("append").partitionBy("event_date").parquet(f"{path}/facts")
+            analytics.start_chain(p.spark, f"{path}/facts", path, f"{path}/checkpoint", MIN_EVENTS, _ONCE).awaitTermination()
+    finally:
+        rows.unpersist()
+    return path
+
+
+#: Minutes that come late, all over the day.
+_LATE = "floor(unix_seconds(minute_ts) / 60) % 7 = 3"
+
+
+@_query(
+    f"""SELECT 'anomalies' AS table_name, asset_id, {_ts()}, anomaly_type AS what, CAST(severity AS BIGINT) AS n FROM hyb
+UNION ALL SELECT 'risk', asset_id, {_ts()}, risk_level || ' ' || top_drivers, CAST(risk_score AS BIGINT) FROM drisk
+UNION ALL SELECT 'current', asset_id, {_ts('as_of_minute_ts', 'minute_ts')}, risk_level || ' ' || top_drivers, CAST(risk_score AS BIGINT) FROM cur"""
+)
+def chain_late(p: Plant) -> DataFrame:
+    """Anomalies, risk and current states after minutes that arrive late correct them."""
+    noon = "minute_ts < timestamp'2024-01-01 06:00:00'"
+    path = _chain_in_steps(p, [F.expr(f"not {_LATE} and {noon}"), F.expr(f"not {_LATE} and not {noon}"), F.expr(_LATE)])
+    table = lambda name: analytics.chain_table(p.spark, path, name)
+    level = F.concat_ws(" ", "risk_level", "top_drivers")
+    rows = table("anomalies").select(F.lit("anomalies").alias("table_name"), "asset_id", "minute_ts", F.col("anomaly_type").alias("what"), F.col("severity").cast("bigint").alias("n"))
+    rows = rows.unionByName(table("risk").select(F.lit("risk").alias("table_name"), "asset_id", "minute_ts", level.alias("what"), F.col("risk_score").cast("bigint").alias("n")))
+    rows = rows.unionByName(table("current").select(F.lit("current").alias("table_name"), "asset_id", F.col("as_of_minute_ts").alias("minute_ts"), level.alias("what"), F.col("risk_score").cast("bigint").alias("n")))
+    return _shown(rows)
+
+
+def _hours_of_facts() -> list[Column]:
+    hour = lambda h: F.expr(f"timestamp'2024-01-01 00:00:00' + interval {h} hours")
+    return [(F.col("minute_ts") >= hour(a)) & (F.col("minute_ts") < hour(b)) for a, b in zip((0, *_HOURS[:-1]), _HOURS)]
+
+
+@_query(_lifecycle_sql("(SELECT max(minute_ts) FROM fact WHERE minute_ts < TIMESTAMP '2024-01-01 {:02}:00:00')", commands=False))
+def chain_lifecycle(p: Plant) -> DataFrame:
+    """Recommendations as four steps of the chain leave them, active and closed."""
+    path = _chain_in_steps(p, _hours_of_facts())
+    recs = analytics.chain_table(p.spark, path, "recommendations").unionByName(analytics.chain_table(p.spark, path, "closed"))
+    return _shown(recs, ["asset_id", "rec_type", "status", "as_of_minute_ts", "created_at", "updated_at", "closed_by", "ack_until"])
+
+
+@_query(" UNION ALL ".join(f"SELECT asset_id, CAST({n} AS BIGINT) AS step, {_ts('time_bucket(INTERVAL ' + str(n) + ' MINUTE, minute_ts)', 'minute_ts')}, max(risk_score) AS risk_score, max(risk_level) AS risk_level, max(failure_mode) AS failure_mode FROM drisk GROUP BY ALL" for n in chain.ROLLUP_STEPS))
+def chain_rollups(p: Plant) -> DataFrame:
+    """Risk by 5 and 15 minutes as the chain keeps it, late minutes included."""
+    path = _chain_in_steps(p, [F.expr(f"not {_LATE}"), F.expr(_LATE)])
+    return _shown(serving.rollup_series(analytics.chain_table(p.spark, path, "rollups"), None, *_range()), ["asset_id", "step", "minute_ts", "risk_score", "risk_level", "failure_mode"])
+
+
+@_query(f"SELECT {_ANOMALY} FROM hyb h")
+def chain_follow(p: Plant) -> DataFrame:
+    """Anomalies of a consumer that goes by its mark: first early facts, then
+    their corrections; a step that fails before its record is made again."""
+    path = scratch_folder(p.spark)
+    early = facts.minute_facts(p.good.filter("kafka_offset % 3 <> 0"))
+    for i, minutes in enumerate((early, p.facts)):
+        chain.publish_facts(p.spark, f"{path}/source", i, minutes)
+        chain.follow(p.spark, f"{path}/source", path, MIN_EVENTS)
+    chain.follow(p.spark, f"{path}/source", path, MIN_EVENTS)
+    return _shown(analytics.chain_table(p.spark, path, "anomalies"), ANOMALY)
+
+
 _STEPS = "CASE kafka_offset % 5 WHEN 1 THEN 't1|t2' WHEN 3 THEN 'x|y' ELSE '' END"
 
 
