@@ -97,12 +97,18 @@ class Batch:
         return {n.split("=", 1)[1]: f"{folder}/{n}" for n in sinks.folder_names(self.spark, path) if n.startswith(f"{by}=")}
 
     def change(self, name: str, rows: DataFrame, redone: DataFrame, keys: list[str], ts: str = "minute_ts") -> None:
-        """Rows that this batch made for the keys of ``redone``, which has ``ts``;
-        keys without a row get a deletion mark."""
-        gone = redone.select(*keys).join(rows.select(*keys).distinct(), keys, "left_anti")
-        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in keys]
-        marks = gone.select(*keys, *nulls).select(*rows.columns).withColumn("deleted", F.lit(True))
-        both = rows.withColumn("deleted", F.lit(False)).unionByName(marks).withColumns({"version": F.lit(self.version).cast("long"), "event_date": F.to_date(ts)})
+        """Rows that this batch made, of those whose keys ``redone`` has (with
+        ``ts``); keys without a row get a deletion mark."""
+        rest = [c for c in rows.columns if c not in redone.columns]
+        both = redone.join(rows.withColumn("deleted", F.lit(False)), redone.columns, "left").select(*redone.columns, *rest, F.coalesce("deleted", F.lit(True)).alias("deleted"))
+        self._add(name, both.select(*rows.columns, "deleted"), keys, ts)
+
+    def append(self, name: str, rows: DataFrame, keys: list[str], ts: str = "minute_ts") -> None:
+        """Rows that are new or take the place of all rows of their keys."""
+        self._add(name, rows.withColumn("deleted", F.lit(False)), keys, ts)
+
+    def _add(self, name: str, rows: DataFrame, keys: list[str], ts: str) -> None:
+        both = rows.withColumns({"version": F.lit(self.version).cast("long"), "event_date": F.to_date(ts)})
         for day, folder in self._write(name, both, "event_date", f"v={self.version}").items():
             self.tables.setdefault(name, {}).setdefault(day, []).append(folder)
         crowded = [day for day, held in self.tables.get(name, {}).items() if len(held) >= MERGE]

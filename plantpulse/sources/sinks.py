@@ -1,4 +1,7 @@
-"""Idempotent sinks: appends and upserts that a replayed batch doesn't change."""
+"""Sinks: appends and upserts that a replayed batch doesn't change.
+
+Plain ``append_table`` and ``jdbc_write`` are the exceptions; see there.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +15,40 @@ def create_database(spark: SparkSession, name: str) -> None:
 
 
 def jdbc_write(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
-    """Credentials come with the options; none are kept here."""
+    """Credentials come with the options; none are kept here.  A repeated append
+    doubles rows unless the table's key refuses them."""
     df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).options(**options).save()
 
 
-def append_table(df: DataFrame, table: str, ts: str = "minute_ts") -> None:
-    """Append to a managed Parquet table by day; the first write creates it."""
-    df.withColumn("event_date", F.to_date(ts)).write.mode("append").format("parquet").partitionBy("event_date").saveAsTable(table)
+def append_table(df: DataFrame, table: str, ts: str = "minute_ts", batch: tuple[str, int] | None = None) -> None:
+    """Append to a managed Parquet table by day; the first write creates it.
+
+    With ``batch`` (stream, number) the rows go to partitions of that batch, and
+    the ledger beside the table names it last.  The same batch again replaces
+    its rows, on whatever days they were; ``read_appended`` shows only batches
+    of the ledger, so an append that failed half-way isn't seen.  A table takes
+    appends of one kind.
+    """
+    rows = df.withColumn("event_date", F.to_date(ts))
+    if batch is None:
+        rows.write.mode("append").format("parquet").partitionBy("event_date").saveAsTable(table)
+        return
+    spark, (stream, number) = df.sparkSession, batch
+    if spark.catalog.tableExists(table):
+        held = spark.sql(f"SHOW PARTITIONS {table} PARTITION (stream = :stream, batch_id = {int(number)})", {"stream": stream})
+        for r in held.collect():  # a row a day of this batch
+            day = r["partition"].split("/")[0].split("=")[1]
+            spark.sql(f"ALTER TABLE {table} DROP PARTITION (event_date = :day, stream = :stream, batch_id = {int(number)})", {"day": day, "stream": stream})
+    rows.withColumns({"stream": F.lit(stream), "batch_id": F.lit(int(number)).cast("long")}).write.mode("append").format("parquet").partitionBy("event_date", "stream", "batch_id").saveAsTable(table)
+    entry = spark.createDataFrame([(stream, int(number))], "stream string, batch_id long")
+    if spark.catalog.tableExists(f"{table}_ledger"):
+        entry = entry.join(spark.table(f"{table}_ledger"), ["stream", "batch_id"], "left_anti")
+    entry.write.mode("append").format("parquet").saveAsTable(f"{table}_ledger")
+
+
+def read_appended(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of the batches that the table's ledger names."""
+    return spark.table(table).join(spark.table(f"{table}_ledger"), ["stream", "batch_id"], "left_semi")
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -81,9 +111,17 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def upsert_version(batch: DataFrame, base: str, version: int, keys: list[str], order: str) -> str:
-    """The next version of a table of states: the one before with newer rows."""
-    table = upsert(batch.sparkSession.read.parquet(f"{base}/v={version - 1}"), batch, keys, order) if version else newest(batch, keys, order)
-    return write_version(table, base, version)
+    """The next version of a table of states: the one before with newer rows.
+
+    The whole table is written; two versions stay.  For a large table use
+    ``commits.Batch.put``, which writes the buckets of changed keys.
+    """
+    spark = batch.sparkSession
+    table = upsert(spark.read.parquet(f"{base}/v={version - 1}"), batch, keys, order) if version else newest(batch, keys, order)
+    path = write_version(table, base, version)
+    if version > 1:
+        drop_folder(spark, f"{base}/v={version - 2}")
+    return path
 
 
 def read_version(spark: SparkSession, base: str, version: int, schema: str) -> DataFrame:

@@ -114,14 +114,17 @@ def reconcile_changed(batch: commits.Batch, changed: DataFrame, now) -> None:
     active = empty if active is None else active
     days = [str(r["d"]) for r in changed.select(F.to_date("as_of_minute_ts").alias("d")).distinct().collect()]
     closed = batch.read("closed", days)
-    closed = empty if closed is None else commits.settled(closed, KEYS["closed"]).drop("deleted", "version").join(changed.select("asset_id"), "asset_id", "left_semi")
-    after = recommend.reconcile(active.unionByName(closed), changed, now).persist()
+    closed = empty if closed is None else commits.settled(closed, KEYS["closed"]).drop("deleted", "version").join(changed.select("asset_id"), "asset_id", "left_semi").select(*empty.columns)
+    known = active.unionByName(closed).persist()
+    after = recommend.reconcile(known, changed, now).persist()
     try:
         batch.put("recommendations", after.filter("status <> 'CLOSED'"), changed, ["asset_id"])
-        shut = after.filter("status = 'CLOSED'").join(closed.select("recommendation_id"), "recommendation_id", "left_anti").select(*after.columns)
-        batch.change("closed", shut, shut, KEYS["closed"], "as_of_minute_ts")
+        were = known.filter("status = 'CLOSED'").select("recommendation_id")
+        shut = after.filter("status = 'CLOSED'").join(were, "recommendation_id", "left_anti").select(*after.columns)
+        batch.append("closed", shut, KEYS["closed"], "as_of_minute_ts")
     finally:
         after.unpersist()
+        known.unpersist()
 
 
 def roll_up(batch: commits.Batch, redo: DataFrame, days: list[str]) -> None:
@@ -162,14 +165,16 @@ def step(batch: commits.Batch, source: Facts, changed: DataFrame, min_events: in
         scored = risk.decay_risk(fired, options).persist()
         held += [read, redo, rolling, fired, scored]
         for name, rows in {"features": rolling, "anomalies": fired, "risk": scored}.items():
-            batch.change(name, rows.join(redo, MINUTE, "left_semi"), redo, KEYS[name])
+            batch.change(name, rows, redo, KEYS[name])
         roll_up(batch, redo, [str(d) for d in days])
         touched, current = _states(batch, redo, scored)
         current = current.persist()
         held.append(current)
         before = batch.states("current", touched, ["asset_id"])
-        differs = current if before is None else current.subtract(before.select(*CURRENT))
-        reconcile_changed(batch, differs, last)
+        differs = (current if before is None else current.subtract(before.select(*CURRENT))).persist()
+        held.append(differs)
+        if not differs.isEmpty():
+            reconcile_changed(batch, differs, last)
         batch.put("current", current, touched, ["asset_id"])
         batch.publish(last)
     finally:
@@ -209,7 +214,7 @@ def publish_facts(spark: SparkSession, base: str, batch_id: int, minutes: DataFr
         return
     rows = minutes.select(*FACT).persist()
     try:
-        batch.change("facts", rows, rows, MINUTE)
+        batch.append("facts", rows, MINUTE)
         last = rows.agg(F.max("minute_ts").alias("last")).first()["last"]
         if before_publishing:
             before_publishing()
