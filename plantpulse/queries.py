@@ -19,7 +19,7 @@ from plantpulse.operators import detect, facts, features, recommend, risk
 from plantpulse.plans import serving
 from plantpulse.session import scratch_folder, ship_package
 from plantpulse.sources import sinks, telemetry
-from plantpulse.streaming import analytics, chain, jobs
+from plantpulse.streaming import analytics, chain, jobs, late, windows
 
 #: Events in a minute from which it counts; the test tables are thin.
 MIN_EVENTS = 1
@@ -768,6 +768,42 @@ def chain_follow(p: Plant) -> DataFrame:
     return _shown(analytics.chain_table(p.spark, path, "anomalies"), ANOMALY)
 
 
+@_query(
+    f"""SELECT f.asset_id, {_ts('f.minute_ts', 'minute_ts')}, CAST(coalesce(x.risk_score, 0) AS BIGINT) AS risk_score, CASE WHEN coalesce(x.risk_score, 0) <= {RiskOptions().low_max} THEN 'LOW' WHEN x.risk_score <= {RiskOptions().med_max} THEN 'MED' ELSE 'HIGH' END AS risk_level, x.failure_mode, coalesce(x.top_drivers, '') AS top_drivers
+FROM fact f LEFT JOIN (SELECT asset_id, minute_ts, least(coalesce(CAST(round_even(sum(p) / 30.0, 0) AS DOUBLE), 0.0), 100.0) AS risk_score,
+  {_MODE} AS failure_mode, array_to_string((list(anomaly_type || 'x' || k ORDER BY k DESC, first, anomaly_type))[:3], ', ') AS top_drivers
+  FROM (SELECT f.asset_id, f.minute_ts, h.anomaly_type, sum({_POINTS} * (30 - date_diff('minute', h.minute_ts, f.minute_ts))) AS p, count(*) AS k, min(h.minute_ts) AS first FROM fact f JOIN hyb h ON h.asset_id = f.asset_id AND h.minute_ts <= f.minute_ts AND h.minute_ts > f.minute_ts - INTERVAL 30 MINUTE GROUP BY f.asset_id, f.minute_ts, h.anomaly_type) GROUP BY asset_id, minute_ts) x USING (asset_id, minute_ts)"""
+)
+def stream_window_risk(p: Plant) -> DataFrame:
+    """Decay risk of every minute by sliding windows in a stream of anomalies."""
+    path = scratch_folder(p.spark)
+    for name, df in {"anomalies": p.hybrid.select(*ANOMALY), "minutes": p.facts.select("asset_id", "minute_ts")}.items():
+        df.write.parquet(f"{path}/{name}")
+    read = lambda name: p.spark.readStream.schema(p.spark.read.parquet(f"{path}/{name}").schema).parquet(f"{path}/{name}")
+    windows.start_window_risk(read("anomalies"), f"{path}/risk", f"{path}/checkpoint", read("minutes"), trigger=_ONCE).awaitTermination()
+    return _shown(windows.read_window_risk(p.spark, f"{path}/risk"), ["asset_id", "minute_ts", "risk_score", "risk_level", "failure_mode", "top_drivers"])
+
+
+_PARTS = 4
+
+
+@_query(
+    f"""SELECT CAST(b AS BIGINT) AS batch_id, count(*) AS n_events, count(*) FILTER (WHERE NOT is_late) AS n_accepted, count(*) FILTER (WHERE is_late) AS n_late
+FROM (SELECT b, coalesce(date_trunc('minute', ts) + INTERVAL 1 MINUTE <= date_trunc('millisecond', newest) - INTERVAL 2 MINUTE, false) AS is_late
+  FROM (SELECT *, kafka_offset % {_PARTS} AS b FROM good) g LEFT JOIN (SELECT c.b, max(o.ts) AS newest FROM (VALUES (0), (1), (2), (3)) AS c(b) JOIN good o ON o.kafka_offset % {_PARTS} <= c.b - 2 GROUP BY c.b) w USING (b)) GROUP BY b"""
+)
+def stream_late(p: Plant) -> DataFrame:
+    """Events in four batches, each all over the day: how many came too late."""
+    path = scratch_folder(p.spark)
+    for i in range(_PARTS):
+        p.good.filter(F.col("kafka_offset") % _PARTS == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    events = p.spark.readStream.schema(p.good.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    query, listener = late.start_counted_facts(events, path, f"{path}/checkpoint", trigger=_ONCE)
+    query.awaitTermination()
+    late.await_arrivals(p.spark, query, listener)
+    return _shown(late.late_counts(p.spark, path))
+
+
 _STEPS = "CASE kafka_offset % 5 WHEN 1 THEN 't1|t2' WHEN 3 THEN 'x|y' ELSE '' END"
 
 
