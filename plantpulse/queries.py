@@ -16,7 +16,7 @@ from plantpulse.config import DEPLOYED_HYBRID as H
 from plantpulse.config import FAMILIES, GENERAL_FAMILY, LIMITS, RULES, SIGNALS, RiskOptions
 from plantpulse.functions.columns import dashboard_band, normalise_replies, severity_badge, ui_badge
 from plantpulse.operators import detect, facts, features, recommend, risk
-from plantpulse.plans import serving
+from plantpulse.plans import pages, serving
 from plantpulse.session import scratch_folder, ship_package
 from plantpulse.sources import sinks, telemetry
 from plantpulse.streaming import analytics, chain, jobs, late, windows
@@ -582,6 +582,33 @@ def panel_anomalies(p: Plant) -> DataFrame:
     return _shown(serving.panel_anomalies(p.limits, None, *_range()), ANOMALY)
 
 
+#: Newest anomalies first, assets by name, newest recommendations first.
+_NEWEST, _BY_ASSET, _QUEUE = ("-minute_ts", "asset_id", "anomaly_type"), ("asset_id",), ("-as_of_minute_ts", "asset_id", "rec_type", "recommendation_id")
+
+
+def _second_page(p: Plant, df: DataFrame, order: tuple[str, ...], take: int, rows: int) -> DataFrame:
+    """The page after the first one's last row, from a table in page order."""
+    path = scratch_folder(p.spark)
+    pages.write_pages(df, path, order, rows)
+    last = pages.read_page(p.spark, path, order, take).collect()[-1]
+    return pages.read_page(p.spark, path, order, take, tuple(last[c.lstrip("-")] for c in order))
+
+
+@_query(f"SELECT {_ANOMALY} FROM hyb h ORDER BY h.minute_ts DESC, asset_id, anomaly_type LIMIT 100 OFFSET 100")
+def anomaly_page(p: Plant) -> DataFrame:
+    return _shown(_second_page(p, p.hybrid, _NEWEST, 100, 400), ANOMALY)
+
+
+@_query(f"SELECT asset_id, {_ts('as_of_minute_ts')}, risk_score, risk_level FROM cur ORDER BY asset_id LIMIT 2 OFFSET 2")
+def asset_page(p: Plant) -> DataFrame:
+    return _shown(_second_page(p, risk.current_risk(p.decay), _BY_ASSET, 2, 1).select("asset_id", "as_of_minute_ts", "risk_score", "risk_level"))
+
+
+@_query(f"SELECT asset_id, {_ts('as_of_minute_ts')}, rec_type, status FROM recs r WHERE status IN ('OPEN', 'ACKED') ORDER BY r.as_of_minute_ts DESC, asset_id, rec_type LIMIT 50 OFFSET 50")
+def rec_page(p: Plant) -> DataFrame:
+    return _shown(_second_page(p, p.recs.filter("status in ('OPEN', 'ACKED')").drop("evidence"), _QUEUE, 50, 100), ["asset_id", "as_of_minute_ts", "rec_type", "status"])
+
+
 @_query("SELECT DISTINCT asset_id FROM cur")
 def panel_assets(p: Plant) -> DataFrame:
     return serving.panel_assets(risk.current_risk(p.decay))
