@@ -339,14 +339,106 @@ def _linked(i: int, others: np.ndarray, sets, bounds, sizes, percent: int) -> np
     return out
 
 
+class _Rare:
+    """Which sets of a group can link at all, by their rarest shingles.
+
+    Sets are read rarest shingle first (by the group's own counts).  A pair with
+    ``percent`` % or more shares one of the first n - ceil(t * n) + 1 shingles of the
+    larger set and, as both are no smaller than the smaller one, of the first
+    n - ceil(2t / (1 + t) * n) + 1 of the smaller.  Of those left, sets
+    whose bitmaps (a bit a shingle, by its hash) differ in more bits than linked
+    sets can differ in shingles drop out.  Neither loses a pair; of sets that are
+    alike but not enough so few pass both.
+    """
+
+    def __init__(self, sets: np.ndarray, bounds: np.ndarray, lo: int, hi: int, percent: int):
+        self.lo, self.sizes = lo, np.diff(bounds[lo : hi + 1])
+        owner = np.repeat(np.arange(hi - lo), self.sizes)
+        token, n = np.unique(sets[bounds[lo] : bounds[hi]], return_inverse=True, return_counts=True)[1:]
+        key = (owner << 16 | np.minimum(n[token], (1 << 16) - 1)) << 32 | token
+        key.sort()
+        token, shared = (key & ((1 << 32) - 1)).astype(np.int64), (key >> 32 & ((1 << 16) - 1)) > 1
+        at = np.arange(len(token)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        # prefixes of a set as the larger and as the smaller one of a pair
+        self.first = [self.sizes + 1 + -share * self.sizes // by for share, by in ((percent, 100), (2 * percent, 100 + percent))]
+        self.tokens, self.begin, self.who = [], [], []
+        for first in self.first:
+            use = shared & (at < first[owner])
+            self.tokens.append((token[use], np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=hi - lo))])))
+            order = np.argsort(token[use], kind="stable")
+            self.who.append(owner[use][order])
+            self.begin.append(np.searchsorted(token[use][order], np.arange(len(n) + 1)))
+        self.place = np.full(hi - lo, -1)
+        width = 1 << int(np.clip(np.ceil(np.log2(4 * max(self.sizes.mean(), 1))), 9, 12))
+        member = np.zeros((hi - lo, width), bool)
+        with np.errstate(over="ignore"):
+            member[owner, (textbuf.mix(sets[bounds[lo] : bounds[hi]] * U64(5)) % U64(width)).astype(np.int64)] = True
+        self.bits = np.packbits(member, axis=1).view(U64)
+        self.percent = percent
+
+    def alike(self, i: int, which: np.ndarray) -> np.ndarray:
+        """Which of these sets the bitmaps don't rule out for set i."""
+        both = self.sizes[which] + self.sizes[i]
+        most = both - 2 * -(-self.percent * both // (100 + self.percent))
+        return np.bitwise_count(self.bits[which] ^ self.bits[i]).sum(1) <= most
+
+    def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Positions in ``others`` of the sets that may link with set i."""
+        i -= self.lo
+        spans = []
+        for mine, theirs in ((0, 1), (1, 0)):
+            tokens, bounds = self.tokens[mine]
+            own = tokens[bounds[i] : bounds[i + 1]]
+            start = self.begin[theirs][own]
+            spans.append((mine, theirs, start, self.begin[theirs][own + 1] - start))
+        if sum(int(n.sum()) for _, _, _, n in spans) > len(others):  # the bitmaps alone are quicker
+            return np.flatnonzero(self.alike(i, others - self.lo))
+        found = []
+        for mine, theirs, start, n in spans:
+            who = self.who[theirs][np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)]
+            found.append(who[self.sizes[who] <= self.sizes[i]] if mine == 0 else who[self.sizes[who] >= self.sizes[i]])
+        self.place[others - self.lo] = np.arange(len(others))
+        hit = np.unique(self.place[np.concatenate(found)])
+        self.place[others - self.lo] = -1
+        hit = hit[hit >= 0]
+        return hit[self.alike(i, others[hit] - self.lo)]
+
+
+#: Comparisons a set of a group may fail on average before rare shingles choose them.
+TRIES = 8
+
+
+def _linker(sets: np.ndarray, sizes: np.ndarray, groups, percent: int):
+    """``near`` for ``_stars``: members are compared directly as long as most
+    comparisons link; a group where they don't gets an index of rare shingles."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.array([lo for lo, _ in groups])
+    failed, index = [0], [-1, None]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        g = int(np.searchsorted(starts, i, "right")) - 1
+        if index[0] != g:
+            index[:], failed[0] = [g, None], 0
+        lo, hi = groups[g]
+        if index[1] is None and failed[0] > TRIES * (hi - lo):
+            index[1] = _Rare(sets, bounds, lo, hi, percent)
+        at = np.arange(len(others)) if index[1] is None else index[1].candidates(i, others)
+        out = np.zeros(len(others), bool)
+        if len(at):
+            out[at] = _linked(i, others[at], sets, bounds, sizes, percent)
+            failed[0] += len(at) - int(out.sum())
+        return out
+
+    return near
+
+
 def _confirm(percent: int):
     def run(batches):
         for t in textbuf.whole_groups(batches, "task"):
             parts = [shingle_sets(b.column("text")) for b in textbuf.slices(t.to_batches(), "text")]
             sets, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
             groups = textbuf.group_bounds(t.column("task").to_numpy())
-            yield _stars(t.column("id").to_numpy(), groups, lambda i, others: _linked(i, others, sets, bounds, sizes, percent))
+            yield _stars(t.column("id").to_numpy(), groups, _linker(sets, sizes, groups, percent))
 
     return run
 

@@ -213,3 +213,46 @@ def test_pcm_blocks_are_found_by_their_samples(spark, docs, texts):
     long = next(r for r in stored if r.doc_id == 72).blocks
     assert [(r.block, r.sample_offset, r.n_samples, bytes(r.pcm)) for r in again] == [(i, b.sample_offset, b.n_samples, bytes(b.pcm)) for i, b in enumerate(long)]
     assert media.pcm_column(media.media_column(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_and_bitmaps_lose_no_link(percent):
+    """Groups of all similarities, some linked: stars over the index reach what all pairs reach."""
+    from plantpulse.llm import near_dedup
+
+    rng = random.Random(percent)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}x{i}" for i in range(rng.randint(60, 200))]
+        for k in range(80):
+            t = list(words)
+            for j in rng.sample(range(len(t)), rng.randint(1, 8)):
+                t[j] = f"u{base}x{k}x{j}"
+            texts.append(" ".join(t[: rng.randint(len(t) - 10, len(t))]))
+    rng.shuffle(texts)
+    sets, sizes = near_dedup.shingle_sets(pa.array(texts))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    whole = [set(sets[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    linked = lambda i, j: 100 * len(whole[i] & whole[j]) >= percent * len(whole[i] | whole[j])
+    index = near_dedup._Rare(sets, bounds, 0, len(texts), percent)
+    tried = 0
+    for i in range(len(texts)):
+        others = np.array([j for j in range(len(texts)) if j != i and rng.random() < 0.7])
+        got = others[index.candidates(i, others)].tolist()
+        tried += len(got)
+        assert {j for j in others.tolist() if linked(i, j)} <= set(got)
+    assert tried < 0.5 * len(texts) ** 2
+
+    def roots(edges):
+        up = list(range(len(texts)))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in edges:
+            up[find(a)] = find(b)
+        return [find(i) for i in range(len(texts))]
+
+    near = near_dedup._linker(sets, sizes, [(0, len(texts))], percent)
+    stars = near_dedup._stars(np.arange(len(texts)), [(0, len(texts))], near)
+    got = roots(zip(stars.column(0).to_pylist(), stars.column(1).to_pylist()))
+    want = roots((i, j) for i in range(len(texts)) for j in range(i) if linked(i, j))
+    same = lambda r: {tuple(i for i in range(len(r)) if r[i] == x) for x in set(r)}
+    assert same(got) == same(want) and len(same(want)) > 3
