@@ -125,10 +125,15 @@ def apply_commands(recs: DataFrame, commands: DataFrame, now) -> DataFrame:
     """Acknowledge and close by command; one command an id and call.
 
     An ack (default: one day) takes open and acknowledged rows, a close takes
-    rows not closed; other commands change nothing.
+    rows not closed; other commands change nothing.  Of several commands of an
+    id a close comes before an ack, then the longest ack, then the least name
+    and note.
     """
     now = F.lit(now).cast("timestamp")
-    c = commands.dropDuplicates(["recommendation_id"]).select("recommendation_id", F.upper("action").alias("__action"), F.col("by").alias("__by"), F.col("note_or_reason").alias("__note"), F.col("ack_until").alias("__until"))
+    action = F.upper("action")
+    ranked = F.struct(F.when(action == "CLOSE", 0).when(action == "ACK", 1).otherwise(2).alias("rank"), (-F.coalesce(F.unix_micros("ack_until"), F.lit(0))).alias("less"), action.alias("action"), "by", "note_or_reason", "ack_until")
+    c = commands.groupBy("recommendation_id").agg(F.min(ranked).alias("c"))
+    c = c.select("recommendation_id", F.col("c.action").alias("__action"), F.col("c.by").alias("__by"), F.col("c.note_or_reason").alias("__note"), F.col("c.ack_until").alias("__until"))
     d = recs.join(c, "recommendation_id", "left")
     ack = F.coalesce((F.col("__action") == "ACK") & F.col("status").isin("OPEN", "ACKED"), F.lit(False))
     close = F.coalesce((F.col("__action") == "CLOSE") & (F.col("status") != "CLOSED"), F.lit(False))

@@ -476,6 +476,28 @@ def rec_lifecycle(p: Plant) -> DataFrame:
     return _shown(recs, ["asset_id", "rec_type", "status", "as_of_minute_ts", "created_at", "updated_at", "closed_by", "ack_until"])
 
 
+_NOON_SQL = "TIMESTAMP '2024-01-01 06:00:00'"
+_GIVEN = "CASE WHEN asset_id < 'D' THEN 'ACK' WHEN asset_id < 'G' THEN 'CLOSE' ELSE '' END"
+_TAKES = f"({_GIVEN} = 'ACK' AND status IN ('OPEN', 'ACKED'))"
+_SHUTS = f"(({_GIVEN} = 'CLOSE' OR asset_id = 'PUMP_001') AND status <> 'CLOSED')"
+
+
+@_query(
+    f"""SELECT asset_id, rec_type, {_ts('as_of_minute_ts')}, CASE WHEN {_TAKES} THEN 'ACKED' WHEN {_SHUTS} THEN 'CLOSED' ELSE status END AS status,
+  CASE WHEN {_TAKES} THEN strftime({_NOON_SQL} + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') END AS ack_until, CASE WHEN {_TAKES} THEN 'shift' END AS acked_by, CASE WHEN {_TAKES} THEN 'seen' END AS ack_note,
+  CASE WHEN NOT {_SHUTS} THEN NULL WHEN asset_id = 'PUMP_001' THEN 'lead' ELSE 'shift' END AS closed_by, CASE WHEN NOT {_SHUTS} THEN NULL WHEN asset_id = 'PUMP_001' THEN 'overhaul' ELSE 'done' END AS close_reason FROM recs"""
+)
+def rec_commands(p: Plant) -> DataFrame:
+    """Acknowledged, closed and all closed by command, with the notes that
+    commands leave in the evidence (written as JSON and read back)."""
+    now = F.expr("timestamp'2024-01-01 06:00:00'")
+    given = F.when(F.col("asset_id") < "D", "ack").when(F.col("asset_id") < "G", "close")
+    told = p.recs.select("recommendation_id", given.alias("action"), F.lit("shift").alias("by"), F.when(given == "ack", "seen").otherwise("done").alias("note_or_reason"), F.lit(None).cast("timestamp").alias("ack_until")).filter("action is not null")
+    recs = recommend.close_all(recommend.apply_commands(p.recs, told, now), ["PUMP_001"], "lead", "overhaul", now)
+    back = recommend.read_evidence(recommend.write_evidence(recs))
+    return _shown(back.select("asset_id", "rec_type", "as_of_minute_ts", "status", "ack_until", "evidence.acked_by", "evidence.ack_note", "closed_by", "evidence.close_reason"))
+
+
 # ---- serving ----------------------------------------------------------------
 
 
@@ -508,6 +530,12 @@ def anomalies_in_range(p: Plant) -> DataFrame:
     return _shown(serving.anomalies_in_range(p.hybrid, None, *_range()), ANOMALY)
 
 
+@_query(f"SELECT {_ANOMALY} FROM hyb h WHERE {_IN} ORDER BY h.minute_ts, asset_id, anomaly_type LIMIT 2000")
+def anomalies_clamped(p: Plant) -> DataFrame:
+    """More rows asked for than a page may have."""
+    return _shown(serving.anomalies_in_range(p.hybrid, None, *_range(), take=1_000_000), ANOMALY)
+
+
 @_query(f"SELECT asset_id, {_ts('as_of_minute_ts')}, rec_type, status FROM recs r WHERE status IN ('OPEN', 'ACKED') ORDER BY r.as_of_minute_ts DESC, asset_id, rec_type LIMIT 50")
 def rec_queue(p: Plant) -> DataFrame:
     return _shown(serving.rec_queue(p.recs, " active "), ["asset_id", "as_of_minute_ts", "rec_type", "status"])
@@ -811,6 +839,23 @@ def stream_window_risk(p: Plant) -> DataFrame:
     return _shown(windows.read_window_risk(p.spark, f"{path}/risk"), ["asset_id", "minute_ts", "risk_score", "risk_level", "failure_mode", "top_drivers"])
 
 
+@_query(f"SELECT asset_id, {_ts()}, {_FACT} FROM fact")
+def stream_fact_changes(p: Plant) -> DataFrame:
+    """Early minutes in update mode: the newest row of each."""
+    path = scratch_folder(p.spark)
+    jobs.start_fact_changes(_event_stream(p), f"{path}/facts", f"{path}/checkpoint", trigger=_ONCE).awaitTermination()
+    return _shown(sinks.read_newest(p.spark, f"{path}/facts", ["asset_id", "minute_ts"]).drop("fault_code_max"))
+
+
+@_query("SELECT 'facts' AS table_name, count(*) AS n_rows FROM fact UNION ALL SELECT 'risk', count(*) FROM lrisk")
+def tables_by_name(p: Plant) -> DataFrame:
+    """Tables found in a folder by name."""
+    path = scratch_folder(p.spark)
+    p.facts.write.parquet(f"{path}/facts")
+    p.limit_risk.write.parquet(f"{path}/risk")
+    return serving.report_counts(telemetry.read_tables(p.spark, path, "facts", "risk"))
+
+
 _PARTS = 4
 
 

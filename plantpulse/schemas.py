@@ -10,3 +10,4 @@ RECOMMENDATIONS = (
     "cooldown_until timestamp, state_fingerprint string, ack_until timestamp, closed_at timestamp, closed_by string, created_at timestamp, updated_at timestamp"
 )
 COMMANDS = "recommendation_id bigint, action string, by string, note_or_reason string, ack_until timestamp"
+FACTS = "asset_id string, minute_ts timestamp, avg_temp_c double, avg_vib_mm_s double, avg_current_a double, avg_flow_m3h double, avg_pressure_bar double, event_count int, fault_code_max int"

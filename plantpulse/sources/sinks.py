@@ -104,6 +104,11 @@ def has_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

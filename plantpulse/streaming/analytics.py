@@ -6,14 +6,15 @@ states as a new version, so a batch that is run again replaces what it wrote.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from plantpulse.operators import detect, facts, features, risk
-from plantpulse.sources import sinks
+from plantpulse.sources import sinks, telemetry
+from plantpulse.streaming import jobs
 from plantpulse.streaming.chain import FACT, MINUTE, chain_table, start_chain
 
-__all__ = ["FACT", "KEYS", "chain_table", "start_analytics", "start_chain"]
+__all__ = ["FACT", "KEYS", "chain_table", "run_whole_plant", "start_analytics", "start_chain", "supervise"]
 #: Minute tables of the chain behind this stream.
 KEYS = {"features": MINUTE, "anomalies": MINUTE, "risk": MINUTE}
 
@@ -35,3 +36,24 @@ def start_analytics(events: DataFrame, profiles: DataFrame, base: str, checkpoin
             batch.unpersist()
 
     return enriched.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
+def run_whole_plant(spark: SparkSession, raw: DataFrame, profiles: DataFrame, base: str, min_events: int = 5, trigger: dict | None = None) -> list[StreamingQuery]:
+    """All streams of the plant from one source: the raw archive, closed minutes
+    by day, the analytics fan-out, and the chain behind the minutes."""
+    events = telemetry.parse_events(raw)
+    found = jobs.run_plant(spark, raw, base, trigger)
+    found.append(start_analytics(events, profiles, f"{base}/analytics", f"{base}/checkpoints/analytics", trigger=trigger))
+    found.append(start_chain(spark, f"{base}/asset_minute_fact", f"{base}/chain", f"{base}/checkpoints/chain", min_events, trigger))
+    return found
+
+
+def supervise(queries: list[StreamingQuery], poll_seconds: float = 5.0) -> None:
+    """Wait until all streams have ended; if one fails, stop the others and raise."""
+    left = list(queries)
+    try:
+        while left:
+            left = [q for q in left if not q.awaitTermination(poll_seconds)]
+    finally:
+        for q in left:
+            q.stop()

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from plantpulse import schemas
 from plantpulse.config import DEPLOYED_HYBRID, SIGNALS, HybridThresholds, RiskOptions
@@ -183,14 +184,16 @@ def step(batch: commits.Batch, source: Facts, changed: DataFrame, min_events: in
 
 
 def start_chain(spark: SparkSession, facts_path: str, base: str, checkpoint: str, min_events: int = 5, trigger: dict | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
-    """The chain as a stream over the files of minute facts."""
-    stored = spark.read.parquet(facts_path)
-    reader = spark.readStream.schema(stored.select(*FACT).schema)
+    """The chain as a stream over the files of minute facts, present or to come."""
+    sinks.make_folder(spark, facts_path)
+    plain = StructType.fromDDL(schemas.FACTS)
+    kept = spark.read.schema(plain).parquet(facts_path).schema  # with the days or batches of its folders
+    reader = spark.readStream.schema(StructType([f for f in plain.fields if f.name in FACT]))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        step(commits.Batch(spark, base, "chain", batch_id), fact_files(spark, facts_path, stored.schema), batch, min_events)
+        step(commits.Batch(spark, base, "chain", batch_id), fact_files(spark, facts_path, kept if len(kept) > len(plain) else spark.read.schema(plain).parquet(facts_path).schema), batch.select(*FACT), min_events)
 
     return reader.parquet(facts_path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 

@@ -233,3 +233,27 @@ def test_reach_spans_are_by_day(spark):
     spans, days, time = chain.reach(changed)
     assert spans.count() == 3 and days == [datetime.date(2023, 12, 31), datetime.date(2024, 1, 1), datetime.date(2024, 1, 4)]
     assert chain.reach(changed.limit(0)) is None and time[0] == at(10 - jobs.REACH_MINUTES)
+
+
+def test_the_whole_plant_runs_and_a_failing_stream_stops_the_others(spark, tmp_path):
+    from plantpulse.sources import telemetry
+    from plantpulse.streaming import analytics
+    from test_streams import feed, line
+
+    feed(tmp_path / "in", [[line(60 * m + s, 60.0 + m % 7, "PUMP_001") for m in range(30) for s in (1, 9)], [line(90_000, 0.0)], [line(180_000, 0.0)]])
+    base, once = str(tmp_path / "out"), {"availableNow": True}
+    for _ in range(2):  # the chain finds in the second run what the first one closed
+        raw = telemetry.read_message_files(spark, str(tmp_path / "in"), files_per_trigger=1)
+        analytics.supervise(analytics.run_whole_plant(spark, raw, telemetry.load_asset_profiles(spark), base, 1, once), 0.5)
+    assert chain.chain_table(spark, f"{base}/chain", "features").count() == 31 == spark.read.parquet(f"{base}/asset_minute_fact").count()
+    assert sinks.read_batches(spark, f"{base}/analytics/enriched").count() == 31
+
+    def fail(batch, batch_id):
+        raise RuntimeError("broken")
+
+    rate = spark.readStream.format("rate").load()
+    good = rate.writeStream.format("noop").start()
+    bad = rate.writeStream.foreachBatch(fail).option("checkpointLocation", f"{base}/bad").start()
+    with pytest.raises(Exception, match="broken"):
+        analytics.supervise([good, bad], 0.2)
+    assert not good.isActive and not bad.isActive

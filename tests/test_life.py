@@ -159,3 +159,12 @@ def test_upserts_and_inserts_take_the_same_row_each_time(spark):
     for n in (1, 5):
         assert sorted(map(tuple, sinks.insert_new(empty, df.repartition(n), ["k"]).collect())) == [("a", 1, "x"), ("b", 3, "y")]
         assert sorted(map(tuple, sinks.upsert(empty, df.repartition(n), ["k"]).collect())) == [("a", 2, None), ("b", 3, "y")]
+
+
+def test_commands_of_one_id_have_an_order(spark):
+    recs = recommend.reconcile(spark.createDataFrame([], schemas.RECOMMENDATIONS), snapshot(spark, *[(a, at(1), 50, "MED", "BEARING_WEAR", "X") for a in "ABC"]), at(1))
+    ids = {r.asset_id: r.recommendation_id for r in recs.collect()}
+    rows = [(ids["A"], "ack", "z", "n", at(9)), (ids["A"], "close", "z", "n", None), (ids["B"], "ack", "z", "n", at(5)), (ids["B"], "ack", "y", "m", at(8)), (ids["B"], "ack", "x", "m", None), (ids["C"], "what", "a", "n", None), (ids["C"], "ack", "b", "o", at(3)), (ids["C"], "ack", "b", "k", at(3))]
+    for n in (1, 4):
+        got = {r.asset_id: (r.status, r.closed_by or r.evidence.acked_by, r.evidence.ack_note, r.ack_until) for r in recommend.apply_commands(recs, spark.createDataFrame(rows[::-1] if n == 1 else rows, schemas.COMMANDS).repartition(n), at(2)).collect()}
+        assert got == {"A": ("CLOSED", "z", None, None), "B": ("ACKED", "y", "m", at(8)), "C": ("ACKED", "b", "k", at(3))}
