@@ -63,7 +63,7 @@ def _pcm(block: int):
             parts = pa.StructArray.from_arrays([pa.array(number * block), pa.array(held.astype(np.int32)), pcm], ["sample_offset", "n_samples", "pcm"])
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("n_bytes"), pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams]), textbuf.lists(per, parts)],
-                ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"],
+                ["doc_id", "n_bytes", "flac_bytes", "flac_sha256", "blocks"],
             )
 
     return run
@@ -74,14 +74,17 @@ def pcm_column(media: DataFrame, block: int = 4096) -> DataFrame:
 
     doc_id, n_bytes, the stream's size and SHA-256, and an array of
     (sample_offset, n_samples, signed 8-bit ``pcm``), so that a block is found
-    from the sample it holds.  One row a stream.
+    from the sample it holds.  One row a stream; a null or damaged stream raises,
+    an empty table gives an empty result.
     """
-    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, n_samples: int, pcm: binary>>"
+    schema = "doc_id long, n_bytes long, flac_bytes long, flac_sha256 string, blocks array<struct<sample_offset: long, n_samples: int, pcm: binary>>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_pcm(block), schema)
 
 
 def pcm_blocks(media: DataFrame, block: int = 4096) -> DataFrame:
-    """doc_id, block, sample_offset, n_samples and signed 8-bit ``pcm``: a row a block."""
+    """doc_id, block, sample_offset, n_samples and signed 8-bit ``pcm``: a row a block.
+
+    Streams are as in ``pcm_column``."""
     return pcm_column(media, block).select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.sample_offset", "b.n_samples", "b.pcm")
 
 
@@ -91,24 +94,27 @@ def _features(batches):
         raw, cuts = textbuf.flat(pc.struct_field(blocks.flatten(), "pcm"))
         ends = np.cumsum(pc.list_value_length(blocks).to_numpy(zero_copy_only=False))
         at = cuts[np.concatenate([[0], ends]).astype(np.int64)].tolist()
+        stored = [raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
         payloads = [(raw[i:j] ^ 0x80).tobytes() for i, j in zip(at[:-1], at[1:])]
         yield pa.record_batch(
             [
                 b.column("doc_id"), b.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), b.column("media_bytes"), b.column("media_sha256"), pa.array([feature(p) for p in payloads]),
+                pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(x) for x in stored], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stored]),
+                pa.array([feature(p) for p in payloads]), b.column("flac_bytes"), b.column("flac_sha256"),
             ],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "flac_bytes", "flac_sha256"],
         )
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Store every stream's PCM blocks in the shared folder, read them back and measure them.
 
-    The digests of the payload and its features come from the stored blocks;
-    media_bytes and media_sha256 are the stream's.  An empty table gives an
-    empty result.
+    All of payload, media and feature columns come from the stored blocks:
+    media_bytes and media_sha256 are of their signed samples in order, as
+    stored.  flac_bytes and flac_sha256 are of the stream they were decoded from.
+    A null or empty text is 64 zero samples; an empty table gives an empty result.
     """
     path = scratch.root(media.sparkSession) + "/pcm"
     pcm = scratch.stored(pcm_column(media), path, "zstd")
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, flac_bytes long, flac_sha256 string"
     return pcm.mapInArrow(_features, schema)

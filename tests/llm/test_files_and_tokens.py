@@ -73,9 +73,23 @@ def test_byte_bpe(docs, texts):
     assert back == {d: t or "" for d, t in texts}
 
 
+def described(payload):
+    """The features of a payload, sample by sample."""
+    x = [b - 128 for b in payload]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+    return f"samples={len(x)};min={min(x)};max={max(x)};sum={sum(x)};energy={sum(v * v for v in x)};crossings={crossings}"
+
+
 def test_media(docs, texts):
     column = media.media_column(docs)
     got = {r.doc_id: r for r in media.media_features(column).collect()}
+    streams = {r.doc_id: bytes(r.media) for r in column.collect()}
+    for d, t in texts:
+        p = (t or "").encode() + bytes(-len((t or "").encode()) % 64 or (0 if t else 64))
+        signed = bytes(b ^ 0x80 for b in p)
+        r = got[d]
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(signed), hashlib.sha256(signed).hexdigest(), described(p))
+        assert (r.flac_bytes, r.flac_sha256) == (len(streams[d]), hashlib.sha256(streams[d]).hexdigest())
     assert len(got) == len(texts)
     for d, t in texts:
         b = (t or "").encode()
