@@ -122,9 +122,11 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class _Examples:
-    """Labelled pages as arrays: block features, truth, lengths, label pairs."""
+    """Labelled pages as arrays: block features (each block has some), truth, lengths, label pairs."""
 
-    x: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray
+    width: int
     truth: np.ndarray
     lengths: np.ndarray
     starts: np.ndarray
@@ -132,9 +134,8 @@ class _Examples:
 
 
 def _examples(pages, labels, index) -> _Examples:
-    x = np.zeros((sum(map(len, pages)), len(index)), np.float32)
-    for row, b in enumerate(b for p in pages for b in p):
-        x[row, [index[f] for f in b]] = 1
+    found = [[index[f] for f in set(b)] for p in pages for b in p]
+    ids, sizes = np.array([i for b in found for i in b]), np.array([len(b) for b in found])
     y = np.array([v for p in labels for v in p])
     lengths = np.array([len(p) for p in pages])
     starts = np.cumsum(lengths) - lengths
@@ -144,13 +145,13 @@ def _examples(pages, labels, index) -> _Examples:
     inner[starts] = False
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
-    return _Examples(x, truth, lengths, starts, pairs)
+    return _Examples(ids, sizes, len(index), truth, lengths, starts, pairs)
 
 
 def objective(params, data: _Examples, penalty: float) -> tuple[float, list[np.ndarray]]:
     """Penalised log likelihood of the labels, and its slopes, by forward-backward sums."""
     weights, trans, first = params
-    scores = data.x @ weights
+    scores = np.add.reduceat(weights[data.ids], np.cumsum(data.sizes) - data.sizes)
     e, mask = _padded(scores, data.lengths)
     lanes, steps = mask.shape
     ahead, behind = np.zeros((steps, lanes, 2)), np.zeros((steps, lanes, 2))
@@ -168,11 +169,13 @@ def objective(params, data: _Examples, penalty: float) -> tuple[float, list[np.n
     n = len(data.truth)
     value = (data.truth * scores).sum() + (data.pairs * trans).sum() + (data.truth[data.starts] * first).sum() - total.sum()
     value -= penalty / 2 * (n * (weights**2).sum() + (trans**2).sum())
-    slopes = [data.x.T @ (data.truth - share) - penalty * n * weights, data.pairs - expected - penalty * trans, (data.truth - share)[data.starts].sum(0)]
+    gap = np.repeat(data.truth - share, data.sizes, 0)
+    towards = np.stack([np.bincount(data.ids, gap[:, y], minlength=data.width) for y in range(2)], 1)
+    slopes = [towards - penalty * n * weights, data.pairs - expected - penalty * trans, (data.truth - share)[data.starts].sum(0)]
     return float(value), slopes
 
 
-def train(pages: list[list[tuple[str, ...]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.3, penalty: float = 1e-3) -> Model:
+def train(pages: list[list[tuple[str, ...]]], labels: list[list[int]], rounds: int = 80, rate: float = 0.7, penalty: float = 3e-5) -> Model:
     """Fit by gradient ascent on the conditional likelihood."""
     kept = [i for i, p in enumerate(pages) if p]
     pages, labels = [pages[i] for i in kept], [labels[i] for i in kept]

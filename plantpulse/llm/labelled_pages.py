@@ -88,6 +88,26 @@ def page(seed: int) -> tuple[str, list[int]]:
     def aside():
         box("side", [*([f"<h3>{_sentence(rng, 2)}</h3>"] if maybe(0.4) else []), *(prose(int(rng.integers(1, 4)), 2, 15) if maybe(0.4) else links(int(rng.integers(2, 6))))])
 
+    def comments():
+        """A heading, then a list of entries; either may carry names of its own."""
+        called = lambda: f' class="{_name(rng, _PARTS["comments"][0])}"' if maybe(0.5) else ""
+        before, after = _element(rng, "comments")
+        put(before)
+        if maybe(0.6):
+            put(f"<h{rng.integers(2, 5)}{called()}>{_sentence(rng, int(rng.integers(1, 6)))}</h3>", 0)
+        outer, inner = (("ol", "li"), ("ul", "li"), ("div", "div"), ("section", "article"))[int(rng.integers(0, 4))]
+        put(f"<{outer}{called()}>")
+        for _ in range(int(rng.integers(1, 5))):
+            put(f"<{inner}{called()}>")
+            if maybe(0.3):
+                put(f"<{(t := rng.choice(['p', 'h4', 'div']))}>{_word(rng)} {_word(rng)}</{t}>", 0)
+            if maybe(0.7):
+                put(f"<p>{_sentence(rng, int(rng.integers(2, 50)))}</p>", 0)
+            else:
+                put(f"<div>{_sentence(rng, int(rng.integers(2, 50)))}</div>", 0)
+            put(f"</{inner}>")
+        put(f"</{outer}>" + after)
+
     wrappers = [f'<div {rng.choice(["class", "id"])}="{rng.choice(_NEUTRAL)}">' for _ in range(int(rng.integers(0, 3)))]
     put("".join(wrappers))
     if maybe(0.5):
@@ -110,37 +130,37 @@ def page(seed: int) -> tuple[str, list[int]]:
     for _ in range(int(rng.integers(1, 12))):
         kind = rng.random()
         n = int(rng.integers(1, 12)) if maybe(0.3) else int(rng.integers(8, 90))
-        if kind < 0.55:
+        if kind < 0.47:
             put(f"<p>{_sentence(rng, n)}</p>", 1)
-        elif kind < 0.62:
+        elif kind < 0.53:
             put(f"<p>{_sentence(rng, n)}", 1)
             put("<p>")
-        elif kind < 0.7:
+        elif kind < 0.6:
             put(f"<p><{(t := rng.choice(['b', 'em', 'i']))}>{_sentence(rng, n)}{rng.choice(['<br>', '', f'</{t}><br>'])}", 1)
             put("<p>")
-        elif kind < 0.76:
+        elif kind < 0.66:
             put(f"<h2>{_sentence(rng, int(rng.integers(1, 8)))}</h2>", 1)
-        elif kind < 0.81:
+        elif kind < 0.71:
             tag = rng.choice(["ul", "ol", "dl"])
             put(f"<{tag}>")
             for _ in range(int(rng.integers(1, 4))):
                 inner = rng.choice(["dt", "dd"]) if tag == "dl" else "li"
                 put(f"<{inner}>{_sentence(rng, int(rng.integers(2, 14)))}</{inner}>", 1)
             put(f"</{tag}>")
-        elif kind < 0.85:
+        elif kind < 0.74:
             put(f"<blockquote>{_sentence(rng, n)}</blockquote>", 1)
-        elif kind < 0.9:
+        elif kind < 0.78:
             put(f'<p>{_sentence(rng, n)} <a href="/x">{_word(rng)}</a> {_word(rng)}.</p>', 1)
-        elif kind < 0.94:
-            box("advert", [item(int(rng.integers(2, 20)))])
-        elif kind < 0.97:
+        elif kind < 0.93:
+            box("advert", [item(int(rng.integers(2, 20))) for _ in range(int(rng.integers(1, 3)))])
+        elif kind < 0.96:
             box("form", [item(4), f"<button>{_word(rng)}</button>"])
         else:
             aside()
-    inside = len(nested) > 1 and maybe(0.5)  # what follows the article may stand in its outer element
-    put("".join(x for _, x in nested[:0:-1] if inside) or "".join(x for _, x in reversed(nested)))
-    if maybe(0.4):
-        box("comments", [*([f"<h2>{_sentence(rng, 3)}</h2>"] if maybe(0.4) else []), *(item(int(rng.integers(2, 40))) for _ in range(int(rng.integers(1, 5))))])
+    inside = maybe(0.6)  # what follows the article may stand in its outer element, or in the only one
+    put("".join(x for _, x in nested[:0:-1]) if inside else "".join(x for _, x in reversed(nested)))
+    if maybe(0.55):
+        comments()
     if inside:
         put(nested[0][1])
     if maybe(0.2):

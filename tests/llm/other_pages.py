@@ -52,4 +52,31 @@ TABLES = (
     "Walking in the hills We left early, when the mist was still lying over the fields and nobody else was on the road. After two hours we reached the hut, and the view from there was worth every single step of the way up.",
 )
 
-PAGES = [BLOG, NEWS, MANUAL, TABLES]
+RECIPE = (
+    """<!DOCTYPE html><html><body class="recipe-template"><div id="top-bar"><span>Free delivery on all orders over 30</span></div>
+<header class="global-header"><a href="/" class="logo">Pan &amp; Spoon</a><form role="search" class="search-form"><label>Search</label><input><button>Go</button></form></header>
+<main class="content"><article class="recipe"><header><h1>Flat bread in a pan</h1></header>
+<p>This bread needs no oven and no yeast, and it is ready before the lentils are.</p>
+<aside class="ad-slot"><p>Knives that stay sharp, now at half the price.</p></aside>
+<ol><li>Mix the flour with salt and warm water.</li><li>Knead it until it no longer sticks to your hands.</li><li>Bake it in a dry pan, a minute on each side.</li></ol>
+<p>Wrap the breads in a cloth so that they stay soft until everybody sits down.</p></article>
+<section class="comments-section"><h3>Comments</h3><div class="comment-body"><p>Worked well with rye flour too, thank you so much for sharing it.</p></div><div class="comment-body"><p>Mine were a bit hard.</p></div></section></main>
+<footer class="global-footer"><nav><a href="/contact">Contact</a><a href="/jobs">Jobs</a></nav><p>All rights reserved by Pan and Spoon Ltd.</p></footer></body></html>""",
+    "Flat bread in a pan This bread needs no oven and no yeast, and it is ready before the lentils are. Mix the flour with salt and warm water. Knead it until it no longer sticks to your hands. Bake it in a dry pan, a minute on each side. Wrap the breads in a cloth so that they stay soft until everybody sits down.",
+)
+
+FORUM = (
+    """<html><body><div id="wrapper"><div class="navigation"><a href="/">Index</a> | <a href="/new">New</a></div>
+<div class="newsletter-popup"><p>Get our weekly letter with the best threads!</p><input><button>Subscribe</button></div>
+<div id="main-content" class="post-content"><h1>How I repaired the old tractor</h1>
+<p>The engine had not turned for eleven years when I bought it, and the seller told me that it never would again.</p>
+<div class="sponsored"><p>Spare parts delivered overnight.</p></div>
+<p>First I soaked the cylinders in oil for a week. Then I took a long bar and moved the flywheel by hand.</p>
+<p>On the third Sunday it coughed, smoked and ran.</p>
+<div id="respond" class="replies"><p>Great work! Which oil did you use for the cylinders, and how much of it?</p><p>I want to see a film of it.</p></div></div>
+<div class="related-posts widget"><h4>You may also like</h4><ul><li><a href="/p1">Painting a barn</a></li></ul></div>
+<div class="legal">Imprint and privacy</div></div></body></html>""",
+    "How I repaired the old tractor The engine had not turned for eleven years when I bought it, and the seller told me that it never would again. First I soaked the cylinders in oil for a week. Then I took a long bar and moved the flywheel by hand. On the third Sunday it coughed, smoked and ran.",
+)
+
+PAGES = [BLOG, NEWS, MANUAL, TABLES, RECIPE, FORUM]
