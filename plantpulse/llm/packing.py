@@ -18,6 +18,7 @@ retried task repeats its result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,45 @@ def best_fit(lengths: list[int], items, bins: list[list[int]], room: list[int],
         stacks[r].append(b)
 
 
+def exchange(lengths: list[int], displaced: list[int], bins: list[list[int]], room: list[int]) -> list[int]:
+    """Trade displaced pieces for one or two smaller ones of a bin where that fills
+    the bin better; what is displaced afterwards.
+
+    Every trade leaves less room in a bin and smaller pieces outside, which fit
+    elsewhere more easily.
+    """
+    outside = sorted(displaced, key=lengths.__getitem__)
+    sizes = [lengths[i] for i in outside]
+    for b in sorted((b for b, r in enumerate(room) if r), key=room.__getitem__, reverse=True):
+        own, r = bins[b], room[b]
+        best = None
+        for x in range(len(own)):
+            for y in range(x, len(own)):
+                s = lengths[own[x]] + (lengths[own[y]] if y > x else 0)
+                # one piece, or two, of more than s and at most s + r in all
+                k = bisect_right(sizes, s + r) - 1
+                if k >= 0 and sizes[k] > s and (best is None or sizes[k] - s > best[0]):
+                    best = (sizes[k] - s, x, y, (k,))
+                for i in range(bisect_right(sizes, (s + r) // 2) if y > x else 0):
+                    j = bisect_right(sizes, s + r - sizes[i]) - 1
+                    if j > i and sizes[i] + sizes[j] - s > (best[0] if best else 0):
+                        best = (sizes[i] + sizes[j] - s, x, y, (i, j))
+            if best and best[0] == r:
+                break
+        if best:
+            gain, x, y, taken = best
+            freed = [own[z] for z in {x, y}]
+            bins[b] = [i for i in own if i not in freed] + [outside[k] for k in taken]
+            room[b] = r - gain
+            for k in sorted(taken, reverse=True):
+                del outside[k], sizes[k]
+            for i in freed:
+                k = bisect_right(sizes, lengths[i])
+                outside.insert(k, i)
+                sizes.insert(k, lengths[i])
+    return outside
+
+
 def _room(bins, lengths, capacity):
     return [capacity - sum(lengths[i] for i in b) for b in bins]
 
@@ -113,7 +153,8 @@ def fitness(bins, lengths, capacity) -> tuple[int, float]:
 
 
 def crossover(mother, father, lengths, capacity, rng):
-    """Inject well-filled bins of the father into the mother."""
+    """Inject well-filled bins of the father into the mother; displaced pieces
+    are traded where that fills bins, then best-fitted."""
     fill = [-r for r in _room(father, lengths, capacity)]
     ranked = sorted(range(len(father)), key=lambda b: -fill[b])
     half = ranked[: max(1, len(ranked) // 2)]
@@ -127,7 +168,8 @@ def crossover(mother, father, lengths, capacity, rng):
             child.append(list(b))
         else:
             displaced.extend(i for i in b if i not in taken)
-    best_fit(lengths, displaced, child, room := _room(child, lengths, capacity), capacity)
+    room = _room(child, lengths, capacity)
+    best_fit(lengths, exchange(lengths, displaced, child, room), child, room, capacity)
     return child
 
 
@@ -138,7 +180,8 @@ def mutate(bins, lengths, capacity, rng):
     gone = set(order[: max(1, len(order) // 50)]) | {int(x) for x in rng.integers(len(bins), size=max(1, len(bins) // 50))}
     child = [list(b) for k, b in enumerate(bins) if k not in gone]
     items = [i for k in gone for i in bins[k]]
-    best_fit(lengths, items, child, _room(child, lengths, capacity), capacity)
+    room = _room(child, lengths, capacity)
+    best_fit(lengths, exchange(lengths, items, child, room), child, room, capacity)
     return child
 
 

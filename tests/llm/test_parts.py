@@ -117,6 +117,24 @@ def test_genetic_packing_beats_or_equals_best_fit():
         assert sorted(i for b in child for i in b) == list(range(120))
 
 
+def test_crossovers_save_bins_where_there_is_room_to_win():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1000, 2401, 1500).tolist()
+    first = []
+    packing.best_fit(lengths, range(len(lengths)), first, [], 4096)
+    best = packing.evolve(lengths, 4096, [], np.random.default_rng(1))
+    bound = -(-sum(lengths) // 4096)
+    assert sorted(i for b in best for i in b) == list(range(1500)) and all(sum(lengths[i] for i in b) <= 4096 for b in best)
+    assert len(best) - bound < (len(first) - bound) / 2
+
+
+def test_exchanged_pieces_fill_bins():
+    lengths, bins, room = [50, 40, 30, 20, 60, 55, 21], [[0, 1], [2, 3]], [10, 50]
+    left = packing.exchange(lengths, [4, 5, 6], bins, room)
+    assert sorted(left + bins[0] + bins[1]) == list(range(7))
+    assert [100 - sum(lengths[i] for i in b) for b in bins] == room and sum(room) < 60 and min(room) >= 0
+
+
 def test_genetic_packing_crosses_even_where_best_fit_is_enough(monkeypatch):
     calls = []
     crossing = packing.crossover
