@@ -183,7 +183,12 @@ def _read(dictionary: bytes):
 
 
 def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files.
+
+    One row a document written, in any order; a document without an id keeps its
+    null.  An empty manifest gives an empty result; a file that ends early or
+    names another dictionary raises.
+    """
     order = W.orderBy("first_doc", "shard").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("long"))).select("path", "base")
     # a task for each file: rows this small would else be put into one
@@ -191,4 +196,11 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+    """Write all documents and describe them from the files, read back.
+
+    doc_id, start, n_tokens, ids_crc32: a row an input row, ids in ascending
+    order.  Null and empty texts hold the end id alone, texts of any length are
+    encoded whole, rows that repeat an id are documents of their own, other
+    columns are ignored; an empty table gives an empty result.
+    """
     return read_token_files(*write_token_files(docs, tokenizer, end_id))
