@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table.
+
+    Each stage's rows are written and read again as the next one's documents.
+    Null, empty and repeated rows are as each stage says; an empty table gives
+    an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = scratch.root(spark)
     for i, (_, stage) in enumerate(STAGES[:-1]):
