@@ -856,6 +856,21 @@ def tables_by_name(p: Plant) -> DataFrame:
     return serving.report_counts(telemetry.read_tables(p.spark, path, "facts", "risk"))
 
 
+@_query(f"SELECT asset_id, {_ts()}, {_FACT} FROM fact")
+def managed_facts(p: Plant) -> DataFrame:
+    """Facts appended to a managed table in three batches, one of them twice."""
+    path = scratch_folder(p.spark)
+    base = "facts_" + path.rsplit("/", 1)[-1]
+    sinks.create_database(p.spark, base, f"{path}/database")
+    rows = p.facts.drop("fault_code_max").persist()
+    try:
+        for i in (0, 1, 1, 2):
+            sinks.append_table(rows.filter(F.pmod(F.xxhash64("asset_id", "minute_ts"), F.lit(3)) == i), f"{base}.facts", batch=("facts", i))
+    finally:
+        rows.unpersist()
+    return _shown(sinks.read_appended(p.spark, f"{base}.facts").select(*rows.columns))
+
+
 _PARTS = 4
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def create_database(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Make a database, in the warehouse or in a folder of its own."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`" + (f" LOCATION '{location}'" if location else ""))
 
 
 def jdbc_write(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
@@ -20,6 +21,40 @@ def jdbc_write(df: DataFrame, url: str, table: str, mode: str = "append", **opti
     df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).options(**options).save()
 
 
+def jdbc_append_batch(df: DataFrame, url: str, table: str, stream: str, batch_id: int, **options: str) -> None:
+    """Append a stream's batch so that a repeated one replaces its rows.
+
+    Rows carry ``stream_name`` and ``batch_id``; what an earlier attempt left is
+    deleted first, whole or in part.  The first write creates the table.
+    """
+    spark = df.sparkSession
+    if options.get("driver"):
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    properties = spark._jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, str(v))
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        found = connection.getMetaData().getTables(None, None, "%", None)
+        there = False
+        while found.next():
+            there = there or found.getString("TABLE_NAME").upper() == table.split(".")[-1].upper()
+        if there:
+            statement = connection.prepareStatement(f"DELETE FROM {table} WHERE CAST(stream_name AS VARCHAR(128)) = ? AND batch_id = ?")
+            statement.setString(1, stream)
+            statement.setLong(2, int(batch_id))
+            statement.executeUpdate()
+    finally:
+        connection.close()
+    rows = df.withColumns({"stream_name": F.lit(stream), "batch_id": F.lit(int(batch_id)).cast("long")})
+    jdbc_write(rows.toDF(*[c.upper() for c in rows.columns]), url, table, **options)
+
+
+def to_jdbc(url: str, table: str, stream: str, **options: str):
+    """What ``start_raw(also=...)`` takes to write its batches to a database too."""
+    return lambda batch, batch_id: jdbc_append_batch(batch, url, table, stream, batch_id, **options)
+
+
 def append_table(df: DataFrame, table: str, ts: str = "minute_ts", batch: tuple[str, int] | None = None) -> None:
     """Append to a managed Parquet table by day; the first write creates it.
 
