@@ -17,7 +17,7 @@ from plantpulse.config import FAMILIES, GENERAL_FAMILY, LIMITS, RULES, SIGNALS,
 from plantpulse.functions.columns import dashboard_band, normalise_replies, severity_badge, ui_badge
 from plantpulse.operators import detect, facts, features, recommend, risk
 from plantpulse.plans import pages, serving
-from plantpulse.session import scratch_folder, ship_package
+from plantpulse.session import scratch_folder, ship_package, sized_caches
 from plantpulse.sources import sinks, telemetry
 from plantpulse.streaming import analytics, chain, jobs, late, windows
 
@@ -759,7 +759,8 @@ def stream_chain(p: Plant) -> DataFrame:
 def _chain_in_steps(p: Plant, parts: list[Column]) -> str:
     """The chain over facts that arrive in parts, a restart after each; where it wrote."""
     path = scratch_folder(p.spark)
-    rows = p.facts.withColumn("event_date", F.to_date("minute_ts")).persist()
+    with sized_caches(p.spark):
+        rows = p.facts.withColumn("event_date", F.to_date("minute_ts")).persist()
     try:
         for part in parts:
             rows.filter(part).write.mode("append").partitionBy("event_date").parquet(f"{path}/facts")

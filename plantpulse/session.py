@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,6 +34,32 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_SIZED = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
+
+@contextmanager
+def sized_caches(*sessions: SparkSession) -> Iterator[None]:
+    """Tables persisted within have the partitions that their rows fill.
+
+    Else each that comes from a shuffle has ``spark.sql.shuffle.partitions`` of
+    them, and every job that reads it as many tasks, however few its rows.
+    """
+    before = []
+    for s in sessions:
+        given = s.conf.get(_SIZED, None)
+        if given != "true":
+            s.conf.set(_SIZED, "true")
+            before.append((s, given))
+    try:
+        yield
+    finally:
+        for s, given in before:
+            if given is None:
+                s.conf.unset(_SIZED)
+            else:
+                s.conf.set(_SIZED, given)
+
+
 _OWN: list[str] = []
 
 

@@ -27,6 +27,7 @@ from plantpulse import schemas
 from plantpulse.config import DEPLOYED_HYBRID, SIGNALS, HybridThresholds, RiskOptions
 from plantpulse.operators import detect, facts, features, recommend, risk
 from plantpulse.plans import serving
+from plantpulse.session import sized_caches
 from plantpulse.sources import commits, sinks
 from plantpulse.streaming import jobs
 
@@ -149,38 +150,39 @@ def step(batch: commits.Batch, source: Facts, changed: DataFrame, min_events: in
     """
     if batch.done:
         return
-    changed = changed.select(*MINUTE).persist()
-    held = [changed]
-    try:
-        found = reach(changed)
-        if found is None:
-            batch.publish()
-            return
-        spans, days, time = found
-        last = changed.agg(F.max("minute_ts").alias("last")).first()["last"]
-        last = last if batch.last is None else max(last, batch.last)
-        read = near(source(days), spans, time).persist()
-        redo = redone(read, spans).persist()
-        rolling = features.features_rolling(read, min_events).persist()
-        fired = detect.hybrid_anomalies(rolling, thresholds).persist()
-        scored = risk.decay_risk(fired, options).persist()
-        held += [read, redo, rolling, fired, scored]
-        for name, rows in {"features": rolling, "anomalies": fired, "risk": scored}.items():
-            batch.change(name, rows, redo, KEYS[name])
-        roll_up(batch, redo, [str(d) for d in days])
-        touched, current = _states(batch, redo, scored)
-        current = current.persist()
-        held.append(current)
-        before = batch.states("current", touched, ["asset_id"])
-        differs = (current if before is None else current.subtract(before.select(*CURRENT))).persist()
-        held.append(differs)
-        if not differs.isEmpty():
-            reconcile_changed(batch, differs, last)
-        batch.put("current", current, touched, ["asset_id"])
-        batch.publish(last)
-    finally:
-        for df in held:
-            df.unpersist()
+    with sized_caches(batch.spark, changed.sparkSession):
+        changed = changed.select(*MINUTE).persist()
+        held = [changed]
+        try:
+            found = reach(changed)
+            if found is None:
+                batch.publish()
+                return
+            spans, days, time = found
+            last = changed.agg(F.max("minute_ts").alias("last")).first()["last"]
+            last = last if batch.last is None else max(last, batch.last)
+            read = near(source(days), spans, time).persist()
+            redo = redone(read, spans).persist()
+            rolling = features.features_rolling(read, min_events).persist()
+            fired = detect.hybrid_anomalies(rolling, thresholds).persist()
+            scored = risk.decay_risk(fired, options).persist()
+            held += [read, redo, rolling, fired, scored]
+            for name, rows in {"features": rolling, "anomalies": fired, "risk": scored}.items():
+                batch.change(name, rows, redo, KEYS[name])
+            roll_up(batch, redo, [str(d) for d in days])
+            touched, current = _states(batch, redo, scored)
+            current = current.persist()
+            held.append(current)
+            before = batch.states("current", touched, ["asset_id"])
+            differs = (current if before is None else current.subtract(before.select(*CURRENT))).persist()
+            held.append(differs)
+            if not differs.isEmpty():
+                reconcile_changed(batch, differs, last)
+            batch.put("current", current, touched, ["asset_id"])
+            batch.publish(last)
+        finally:
+            for df in held:
+                df.unpersist()
 
 
 def start_chain(spark: SparkSession, facts_path: str, base: str, checkpoint: str, min_events: int = 5, trigger: dict | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
@@ -215,7 +217,8 @@ def publish_facts(spark: SparkSession, base: str, batch_id: int, minutes: DataFr
     batch = commits.Batch(spark, base, "facts", batch_id)
     if batch.done:
         return
-    rows = minutes.select(*FACT).persist()
+    with sized_caches(minutes.sparkSession):
+        rows = minutes.select(*FACT).persist()
     try:
         batch.append("facts", rows, MINUTE)
         last = rows.agg(F.max("minute_ts").alias("last")).first()["last"]

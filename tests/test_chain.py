@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plantpulse import session
 from plantpulse.operators import detect, facts, features, risk
 from plantpulse.plans import serving
 from plantpulse.sources import commits, sinks
@@ -170,6 +171,34 @@ def test_reads_reach_the_scan_and_dont_grow_with_history(spark, tmp_path):
     assert read.filter("asset_id = 'A'").count() == read.count() > 0
 
 
+def tasks_of(spark, group, run):
+    """Tasks of the jobs that ``run`` starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+def test_a_steps_tasks_follow_its_rows_not_the_shuffle_partitions(spark, tmp_path):
+    rows, set_ = table_of(spark, noisy("AB", range(60))), spark.conf.get("spark.sql.shuffle.partitions")
+    sized = spark.conf.get(session._SIZED)
+    counts = {}
+    try:
+        for n in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            base = (tmp_path / str(n)).as_uri()
+            counts[n] = tasks_of(spark, f"step over {n}", lambda: step(spark, base, 0, rows, rows))  # noqa: B023
+            assert tables(spark, base) == wanted(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_)
+    assert 0 < counts[40] < 1.5 * counts[4]
+    assert spark.conf.get(session._SIZED) == sized  # the caller's session is left as it was
+
+
 def test_states_write_the_buckets_of_changed_keys(spark, tmp_path):
     base = tmp_path.as_uri()
     keyed = lambda rows: spark.createDataFrame(rows, "k string, v int")
