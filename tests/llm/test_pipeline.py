@@ -44,3 +44,21 @@ def test_stages_of_odd_rows(spark, odd, sf):
     empty = docs.limit(0)
     for stage in (first, second, third, last):
         assert stage(spark, empty, sf).count() == 0
+
+
+def _python_steps(node) -> tuple[int, int]:
+    """Most Python steps that a task of the plan below runs at once: in the task of this node, and in any."""
+    under = [node.children().apply(i) for i in range(node.children().size())]
+    here = max([0] + [_python_steps(x)[0] for x in under]) + ("MapInArrow" in node.nodeName())
+    return 0 if "Exchange" in node.nodeName() else here, max([here] + [_python_steps(x)[1] for x in under])
+
+
+def test_quality_tasks_hold_one_python_worker(spark, sf):
+    """Each worker is memory of an executor that stays taken; also where a join is small and gets no exchange."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _python_steps(out._jdf.queryExecution().executedPlan()) == (1, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
